@@ -85,7 +85,7 @@ def seconds(ts: str) -> str:
 
 def pick(values: dict[int, object]) -> str:
     arms = " ".join(
-        f"WHEN {at} THEN " + (str(v) if isinstance(v, int) else f"'{v}'") for ord, v in values.items()
+        f"WHEN {at} THEN " + (str(v) if isinstance(v, int) else f"'{v}'") for at, v in values.items()
     )
     return f"CASE event_id % 16 {arms} END"
 

@@ -11,12 +11,12 @@ from dataclasses import dataclass
 from typing import Any
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusflow.operators.filters import PairRules
@@ -249,9 +249,7 @@ class Cells:
         centres = self.centres / np.maximum(np.linalg.norm(self.centres, axis=1, keepdims=True), 1e-12)
 
         @F.pandas_udf("array<int>")
-        def probe(batches: Iterator[Any]) -> Iterator[Any]:
-            import pandas as pd
-
+        def probe(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             for batch in batches:
                 rows = np.stack(batch.to_numpy()) if len(batch) else np.zeros((0, centres.shape[1]))
                 order = np.argsort(-(rows @ centres.T), axis=1, kind="stable")[:, :probes]
