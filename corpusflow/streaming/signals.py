@@ -26,7 +26,7 @@ class RefreshThrottle(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("state", "pending bigint, last_ms bigint")
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timers: Any) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         pending, last = self.state.get() if self.state.exists() else (0, None)
         frame = pd.concat(list(rows)).sort_values("ts", kind="stable")
         fired: list[tuple[pd.Timestamp, int]] = []

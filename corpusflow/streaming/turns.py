@@ -92,7 +92,7 @@ class TurnAssembler(StatefulProcessor):
         )
         self.progress = handle.getValueState("progress", "seen bigint, last bigint, done boolean")
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timers: Any) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         seen, last, done = self.progress.get() if self.progress.exists() else (0, -1, False)
         newest = None
         for part in rows:
@@ -116,7 +116,7 @@ class TurnAssembler(StatefulProcessor):
             wait = IDLE_MINUTES * 60_000
             self.handle.registerTimer(int(pd.Timestamp(newest).timestamp() * 1000) + wait)
 
-    def handleExpiredTimer(self, key: Any, timers: Any, info: Any) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         done = self.progress.get()[2] if self.progress.exists() else True
         if not done:
             yield self._turn(key)

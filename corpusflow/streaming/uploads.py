@@ -29,7 +29,7 @@ class UploadCollector(StatefulProcessor):
         self.handle = handle
         self.parts = handle.getMapState("parts", "part_index int", "data binary")
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timers: Any) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         total, filename, newest = 0, "", None
         for part in rows:
             for row in part.itertuples(index=False):
@@ -58,7 +58,7 @@ class UploadCollector(StatefulProcessor):
         if newest is not None:
             self.handle.registerTimer(int(pd.Timestamp(newest).timestamp() * 1000) + TTL_HOURS * 3_600_000)
 
-    def handleExpiredTimer(self, key: Any, timers: Any, info: Any) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         self.parts.clear()
         yield from ()
 
