@@ -71,7 +71,7 @@ def _appended(spark, d):
     )
     owners = derive.sessions(spark, d).select("session_id", "user_id")
     new = derive.messages(spark, d).join(owners, "session_id")
-    return sessions.append_messages(known, derive.messages(spark, d).limit(0), new)
+    return sessions.append_messages(known, derive.messages(spark, d).filter("false"), new)
 
 
 @query(
@@ -205,12 +205,17 @@ def followup_context(spark, d):
 @query(
     "A3_session_activity",
     ctes(f"""SELECT s.session_id, s.title, count(m.id) AS msgs, {seconds('min(m.created_at)')} AS started, {seconds('max(m.created_at)')} AS last
-             FROM (SELECT session_id, title FROM sessions UNION ALL SELECT 'empty', NULL) s LEFT JOIN messages m USING (session_id) GROUP BY s.session_id, s.title"""),
+             FROM (SELECT session_id, title FROM sessions UNION ALL SELECT 'n' || n_nationkey, n_name FROM nation) s LEFT JOIN messages m USING (session_id) GROUP BY s.session_id, s.title"""),
 )
 def session_activity(spark, d):
     rows = derive.sessions(spark, d)
-    empty = rows.limit(1).withColumn("session_id", F.lit("empty")).withColumn("title", F.lit(None).cast("string"))
-    active = sessions.session_activity(rows.unionByName(empty), derive.messages(spark, d))
+    # Nations stand in for sessions that were opened and never used.
+    empty = derive.given(spark, d, "nation").select(
+        F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("session_id"), F.col("n_name").alias("title")
+    )
+    active = sessions.session_activity(
+        rows.unionByName(empty, allowMissingColumns=True), derive.messages(spark, d)
+    )
     return flat(active.select("session_id", "title", "msgs", "started", "last"))
 
 

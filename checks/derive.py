@@ -26,6 +26,13 @@ def given(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a table that lies in fewer pieces than there are cores, spread
+    over all of them; a table in many pieces is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def text(col: Column | str) -> Column:
     return (F.col(col) if isinstance(col, str) else col).cast("string")
 
@@ -37,7 +44,7 @@ def corpus(spark: SparkSession, d: str) -> DataFrame:
         F.lit("http://"), F.col("source"), F.lit(".example.com/"), F.col("lang"), F.lit("/articles/"), text(doc)
     )
     kind = F.when(doc % 3 == 0, "article").when(doc % 3 == 1, "static").otherwise("upload")
-    return given(spark, d, "documents").select(
+    return spread(given(spark, d, "documents")).select(
         doc.alias("doc_no"),
         F.substring(F.sha1(url), 1, 16).alias("doc_id"),
         url.alias("url"),

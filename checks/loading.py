@@ -114,7 +114,7 @@ def insert_ignore(spark, d):
     parts = derive.upload_parts(spark, d)
     stored = parts.filter("created_at < TIMESTAMP '2024-01-11'")
     key = ["upload_id", "user_id", "part_index"]
-    once = load.insert_ignore(stored.limit(0), stored, key, ["created_at"])
+    once = load.insert_ignore(stored.filter("false"), stored, key, ["created_at"])
     merged = load.insert_ignore(once, parts, key, ["created_at"])
     return flat(merged.select(*key, F.col("data").cast("string").alias("data")))
 

@@ -219,7 +219,7 @@ _SAVED = """
 )
 def add_favorites(spark, d):
     saves = derive.saves(spark, d).drop("doc_no")
-    merged, _ = favorites.add_favorites(saves.limit(0), derive.documents_by_no(spark, d), saves)
+    merged, _ = favorites.add_favorites(saves.filter("false"), derive.documents_by_no(spark, d), saves)
     return flat(merged.select("id", "user_id", "doc_id", "note", "created_at"))
 
 
@@ -239,7 +239,7 @@ def add_again(spark, d):
 @query("V3_rejected", ctes("SELECT id, user_id, doc_id FROM saves WHERE doc_id NOT IN (SELECT doc_id FROM docs)"))
 def rejected(spark, d):
     saves = derive.saves(spark, d).drop("doc_no")
-    _, bad = favorites.add_favorites(saves.limit(0), derive.documents_by_no(spark, d), saves)
+    _, bad = favorites.add_favorites(saves.filter("false"), derive.documents_by_no(spark, d), saves)
     return bad.select("id", "user_id", "doc_id")
 
 

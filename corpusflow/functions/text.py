@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -10,13 +11,15 @@ from pyspark.sql import functions as F
 # --- fixed values -----------------------------------------------------------
 # White space in the sense of the source texts: ASCII plus the Unicode blanks.
 BLANK = "\\s\\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000\\uFEFF"
+BLANK_CHARS = " \t\n\x0b\f\r\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 # Clean-up rules for page markdown, applied in this order.
 CLEANUP_RULES = [
     ("\\r\\n?", "\n"),
     ("!\\[[^\\]]*\\]\\([^)]*\\)", ""),
     (f"https?://cdn\\.[^{BLANK}]+", ""),
     ("\\[([^\\]]+)\\]\\([^)]*\\)", "$1"),
-    ("[\\t ]+", " "),
+    # Single spaces are left alone: the same text, without rewriting all of it.
+    ("\\t[\\t ]*| [\\t ]+", " "),
     ("\\n{3,}", "\n\n"),
 ]
 HEADING_START = f"(?m)(?=^#{{1,6}}[{BLANK}]+.)"
@@ -28,7 +31,7 @@ SNIPPET_CHARS = 240
 
 
 def trim_blank(col: Column) -> Column:
-    return F.regexp_replace(col, f"^[{BLANK}]+|[{BLANK}]+$", "")
+    return F.btrim(col, F.lit(BLANK_CHARS))
 
 
 def squeeze(col: Column) -> Column:
@@ -49,9 +52,15 @@ def _pieces(col: Column, pattern: str) -> Column:
     return F.filter(parts, lambda p: p != "")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluates ``value`` once and hands it to ``body``, inside any expression."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def sections(col: Column) -> Column:
     """Markdown split before each heading line."""
-    return _pieces(col, HEADING_START)
+    whole = F.filter(F.array(trim_blank(col)), lambda p: p != "")
+    return F.when(F.contains(col, F.lit("#")), _pieces(col, HEADING_START)).otherwise(whole)
 
 
 def paragraphs(col: Column) -> Column:
