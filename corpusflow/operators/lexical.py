@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from corpusflow.functions import text as tx
 from corpusflow.operators import filters as flt
 from corpusflow.operators.ordered import top_per_group
-from corpusflow.session import fits_broadcast
+from corpusflow.session import fits_broadcast, join_checked
 
 # --- fixed values -----------------------------------------------------------
 COVER_WEIGHT = 0.1
@@ -44,13 +44,29 @@ def term_stats(postings: DataFrame) -> DataFrame:
 
 def query_terms(queries: DataFrame) -> DataFrame:
     """Adds the distinct terms of each query; queries without any term drop out."""
-    return queries.withColumn("terms", F.array_distinct(tx.tokens(F.col("text")))).filter(F.size("terms") > 0)
+    terms = F.array_sort(F.array_distinct(tx.tokens(F.col("text"))))
+    return queries.withColumn("terms", terms).filter(F.size("terms") > 0)
 
 
-def probes(queries: DataFrame, chunks: DataFrame, *, stats: DataFrame | None = None, fits: bool) -> DataFrame:
-    """Rarest term per query; a query with a term that no chunk has drops out."""
-    wanted = query_terms(queries)
-    needed = wanted.select("query_id", F.explode("terms").alias("term"))
+def distinct_asks(queries: DataFrame, extra: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Queries with equal terms (and equal filter and user) are one ask.
+
+    Returns the asks (ask_id, terms, extra) and the members (query_id, ask_id).
+    """
+    key = ["terms", *extra]
+    asked = query_terms(queries.select("query_id", "text", *extra)).drop("text")
+    asks = asked.groupBy(*key).agg(F.min("query_id").alias("ask_id"))
+    # The id is computed from the group, so both tables agree on every recompute.
+    members = asked.join(
+        asks.select("ask_id", *[F.col(c).alias(f"__{c}") for c in key]),
+        [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in key],
+    ).select("query_id", "ask_id")
+    return asks, members
+
+
+def probes(asks: DataFrame, chunks: DataFrame, *, stats: DataFrame | None = None, fits: bool) -> DataFrame:
+    """Rarest term per ask; an ask with a term that no chunk has drops out."""
+    needed = asks.select("ask_id", F.explode("terms").alias("term"))
     if stats is None:
         distinct = needed.select("term").distinct()
         stats = (
@@ -61,36 +77,22 @@ def probes(queries: DataFrame, chunks: DataFrame, *, stats: DataFrame | None = N
         )
     rarest = (
         needed.join(stats, "term")
-        .groupBy("query_id")
+        .groupBy("ask_id")
         .agg(F.min(F.struct("df", "term")).alias("__rare"), F.count(F.lit(1)).alias("__known"))
     )
     return (
-        wanted.join(rarest, "query_id")
+        asks.join(rarest, "ask_id")
         .filter(F.col("__known") == F.size("terms"))
-        .select(*queries.columns, "terms", F.col("__rare.term").alias("term"))
+        .select(*asks.columns, F.col("__rare.term").alias("term"))
     )
 
 
-def match_all(
-    queries: DataFrame,
-    chunks: DataFrame,
-    *,
-    stats: DataFrame | None = None,
-    filters: bool = False,
-    scope: bool = False,
+def _match(
+    asks: DataFrame, chunks: DataFrame, *, stats: DataFrame | None, filters: bool, scope: bool, fits: bool
 ) -> DataFrame:
-    """(query, chunk) rows where the chunk has every term of the query.
-
-    Carries ``terms`` and ``tokens`` for ranking. ``chunks`` needs ``tokens``.
-    ``stats`` (term, df) saves one pass when an index already keeps it.
-    """
-    extra = (["filters"] if filters else []) + (["user_id"] if scope else [])
+    """(ask_id, chunk_id, terms, tokens) where the chunk has every term of the ask."""
     facts = (["metadata"] if filters else []) + (["session_id", "owner"] if scope else [])
-    asked = queries.select("query_id", "text", *extra)
-    # At most one probe and len(terms) rows per query: a bound known up front.
-    fits = fits_broadcast(query_terms(asked).select(F.explode("terms")))
-    probe = probes(asked, chunks, stats=stats, fits=fits)
-
+    probe = probes(asks, chunks, stats=stats, fits=fits)
     if fits:
         hits = chunks.select(
             "chunk_id", "tokens", *facts, F.explode(F.array_distinct("tokens")).alias("term")
@@ -108,15 +110,52 @@ def match_all(
         )
         hits = pairs.join(chunks.select("chunk_id", "tokens", *facts), "chunk_id")
 
-    kept = hits.filter(F.size(F.array_except("terms", "tokens")) == 0)
+    # A single term was the probe itself.
+    kept = hits.filter((F.size("terms") == 1) | (F.size(F.array_except("terms", "tokens")) == 0))
     if filters:
         kept = kept.filter(flt.matches(F.col("filters"), F.col("metadata")))
     if scope:
         kept = kept.filter(flt.visible(F.col("user_id"), F.col("session_id"), F.col("owner")))
-    return kept.select("query_id", "chunk_id", "terms", "tokens")
+    return kept.select("ask_id", "chunk_id", "terms", "tokens")
+
+
+def _extra(filters: bool, scope: bool) -> list[str]:
+    return (["filters"] if filters else []) + (["user_id"] if scope else [])
+
+
+def _fits(queries: DataFrame) -> bool:
+    """Whether all query terms fit a broadcast: a bound on asks and probes too."""
+    return fits_broadcast(query_terms(queries.select("text")).select(F.explode("terms")))
+
+
+def match_all(
+    queries: DataFrame,
+    chunks: DataFrame,
+    *,
+    stats: DataFrame | None = None,
+    filters: bool = False,
+    scope: bool = False,
+) -> DataFrame:
+    """(query, chunk) rows where the chunk has every term of the query.
+
+    Carries ``terms`` and ``tokens`` for ranking. ``chunks`` needs ``tokens``.
+    ``stats`` (term, df) saves one pass when an index already keeps it.
+    """
+    fits = _fits(queries)
+    asks, members = distinct_asks(queries, _extra(filters, scope))
+    hits = _match(asks, chunks, stats=stats, filters=filters, scope=scope, fits=fits)
+    return join_checked(hits, members, "ask_id", small_fits=fits).drop("ask_id")
 
 
 def cover_score(terms: Column, tokens: Column) -> Column:
+    """Cover density of the terms; a single term scores by its count alone."""
+    count = F.size(tokens) - F.size(F.array_remove(tokens, F.get(terms, F.lit(0))))
+    return F.when(F.size(terms) == 1, F.round(F.lit(COVER_WEIGHT) * count, DIGITS)).otherwise(
+        _walk_covers(terms, tokens)
+    )
+
+
+def _walk_covers(terms: Column, tokens: Column) -> Column:
     """Cover density: each minimal span holding all terms adds weight / (1 + gaps).
 
     One walk over the hits. ``latest`` holds, per term, the ordinal of its last
@@ -155,11 +194,9 @@ def cover_score(terms: Column, tokens: Column) -> Column:
     return F.round(F.aggregate(hits, empty, step, lambda s: s["score"]), DIGITS)
 
 
-def rank_cover(matches: DataFrame) -> DataFrame:
-    """query_id, chunk_id, lexical score of matched pairs."""
-    return matches.select(
-        "query_id", "chunk_id", cover_score(F.col("terms"), F.col("tokens")).alias("lexical")
-    )
+def rank_cover(matches: DataFrame, key: str = "query_id") -> DataFrame:
+    """key, chunk_id and lexical score of matched pairs."""
+    return matches.select(key, "chunk_id", cover_score(F.col("terms"), F.col("tokens")).alias("lexical"))
 
 
 def lexical_search(
@@ -171,6 +208,13 @@ def lexical_search(
     filters: bool = False,
     scope: bool = False,
 ) -> DataFrame:
-    """Best ``k`` matching chunks per query: query_id, chunk_id, lexical, rank."""
-    scored = rank_cover(match_all(queries, chunks, stats=stats, filters=filters, scope=scope))
-    return top_per_group(scored, ["query_id"], [F.col("lexical").desc(), F.col("chunk_id")], k)
+    """Best ``k`` matching chunks per query: query_id, chunk_id, lexical, rank.
+
+    Equal queries are searched once; each task keeps its best ``k`` per ask
+    before anything is shuffled.
+    """
+    fits = _fits(queries)
+    asks, members = distinct_asks(queries, _extra(filters, scope))
+    scored = rank_cover(_match(asks, chunks, stats=stats, filters=filters, scope=scope, fits=fits), "ask_id")
+    best = top_per_group(scored, ["ask_id"], [F.col("lexical").desc(), F.col("chunk_id")], k)
+    return join_checked(best, members, "ask_id", small_fits=fits).select("query_id", "chunk_id", "lexical", "rank")

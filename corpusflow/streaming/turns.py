@@ -18,7 +18,7 @@ CLOSING = ["done", "error", "end"]
 IDLE_MINUTES = 60
 # ---------------------------------------------------------------------------
 
-FLAT = ["request_id", "seq", "ts", "type", "text", "model", "mode", "stop_reason", "n_sources", "in_tok", "out_tok", "kind"]
+EVENT = ["seq", "type", "text", "model", "mode", "stop_reason", "n_sources", "in_tok", "out_tok", "kind"]
 TURN = (
     "request_id string, content string, deltas bigint, model string, mode string, stop_reason string,"
     " n_sources bigint, in_tok bigint, out_tok bigint, error_kind string"
@@ -75,88 +75,88 @@ def assemble_turns(events: DataFrame) -> DataFrame:
 class TurnAssembler(StatefulProcessor):
     """Keeps the events of open requests; emits a turn when the request closes.
 
-    Events may arrive in any order inside and across batches. A request is
-    emitted once, when the event after its last one is known: closing events
-    carry the highest sequence number, so the turn is complete when that many
-    events were seen. A request that stays silent is emitted when its timer
-    fires, with what it has.
+    Events may arrive in any order inside and across batches, and twice. The
+    closing event carries the highest sequence number, so a turn is complete
+    when that many events are there. A request that stays silent is emitted with
+    what it has when its timer fires.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.events = handle.getMapState(
+        self.events = handle.getListState(
             "events",
-            "seq bigint",
-            "type string, text string, model string, mode string, stop_reason string,"
+            "seq bigint, type string, text string, model string, mode string, stop_reason string,"
             " n_sources bigint, in_tok bigint, out_tok bigint, kind string",
         )
-        self.progress = handle.getValueState("progress", "seen bigint, last bigint, done boolean")
+        self.closed = handle.getValueState("closed", "closed boolean")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        seen, last, done = self.progress.get() if self.progress.exists() else (0, -1, False)
-        newest = None
-        for part in rows:
-            for row in part.itertuples(index=False):
-                newest = row.ts if newest is None else max(newest, row.ts)
-                place = (int(row.seq),)
-                if done or self.events.containsKey(place):
-                    continue
-                self.events.updateValue(place, tuple(_plain(getattr(row, c)) for c in FLAT[3:]))
-                seen += 1
-                if row.type in CLOSING:
-                    last = max(last, int(row.seq))
-        if not done and last >= 0 and seen >= last + 1:
-            yield self._turn(key)
-            done = True
-            self.events.clear()
-        self.progress.update((seen, last, done))
-        for old in self.handle.listTimers():
-            self.handle.deleteTimer(old)
-        if newest is not None:
-            wait = IDLE_MINUTES * 60_000
-            self.handle.registerTimer(int(pd.Timestamp(newest).timestamp() * 1000) + wait)
+        if self.closed.exists():
+            return
+        stored = list(self.events.get()) if self.events.exists() else []
+        frame = pd.concat(list(rows))
+        arrived = frame[EVENT].astype(object).where(frame[EVENT].notna(), None)
+        events = {event[0]: event for event in stored}
+        for row in arrived.itertuples(index=False, name=None):
+            event = tuple(_plain(value) for value in row)
+            events.setdefault(event[0], event)
+        ordered = [events[seq] for seq in sorted(events)]
+        last = max((e[0] for e in ordered if e[1] in CLOSING), default=None)
+        complete = last is not None and len(ordered) >= last + 1
+        if complete:
+            yield _turn(key, ordered)
+            self.closed.update((True,))
+            if stored:
+                self.events.clear()
+        else:
+            self.events.put(ordered)
+        if stored:
+            for old in list(self.handle.listTimers()):
+                self.handle.deleteTimer(old)
+        silent = int(pd.Timestamp(frame["ts"].max()).timestamp() * 1000) + IDLE_MINUTES * 60_000
+        self.handle.registerTimer(silent)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        done = self.progress.get()[2] if self.progress.exists() else True
-        if not done:
-            yield self._turn(key)
+        if not self.closed.exists() and self.events.exists():
+            yield _turn(key, sorted(self.events.get()))
         self.events.clear()
-        self.progress.clear()
-
-    def _turn(self, key: Any) -> pd.DataFrame:
-        ordered = sorted(((place[0], value) for place, value in self.events.iterator()), key=lambda e: e[0])
-        rows = pd.DataFrame([value for _, value in ordered], columns=FLAT[3:])
-
-        def last(kind: str, column: str) -> Any:
-            found = rows.loc[rows["type"] == kind, column]
-            return None if found.empty else found.iloc[-1]
-
-        deltas = rows.loc[rows["type"] == "delta", "text"].fillna("")
-        return pd.DataFrame(
-            {
-                "request_id": [key[0]],
-                "content": ["".join(deltas)],
-                "deltas": [len(deltas)],
-                "model": [last("model", "model")],
-                "mode": [last("sources", "mode")],
-                "stop_reason": [last("done", "stop_reason")],
-                "n_sources": pd.array([last("sources", "n_sources")], dtype="Int64"),
-                "in_tok": pd.array([last("usage", "in_tok")], dtype="Int64"),
-                "out_tok": pd.array([last("usage", "out_tok")], dtype="Int64"),
-                "error_kind": [last("error", "kind")],
-            }
-        )
+        self.closed.clear()
 
     def close(self) -> None:
         pass
 
 
 def _plain(value: Any) -> Any:
-    if value is None or value is pd.NA or (isinstance(value, float) and value != value):
+    """Python value for the state store; whole numbers may arrive as floats."""
+    if value is None or value is pd.NA or value != value:
         return None
     return int(value) if isinstance(value, float) else getattr(value, "item", lambda: value)()
 
 
+def _turn(key: Any, ordered: list[tuple]) -> pd.DataFrame:
+    def last(kind: str, column: str) -> Any:
+        found = [event[EVENT.index(column)] for event in ordered if event[1] == kind]
+        return found[-1] if found else None
+
+    deltas = [event[EVENT.index("text")] or "" for event in ordered if event[1] == "delta"]
+    numbers = {
+        name: pd.array([last(kind, name)], dtype="Int64")
+        for kind, name in (("sources", "n_sources"), ("usage", "in_tok"), ("usage", "out_tok"))
+    }
+    return pd.DataFrame(
+        {
+            "request_id": [key[0]],
+            "content": ["".join(deltas)],
+            "deltas": [len(deltas)],
+            "model": [last("model", "model")],
+            "mode": [last("sources", "mode")],
+            "stop_reason": [last("done", "stop_reason")],
+            **numbers,
+            "error_kind": [last("error", "kind")],
+        }
+    )
+
+
 def assemble_turns_stream(events: DataFrame, late: str = "10 minutes") -> DataFrame:
     use_state_store(events.sparkSession)
     return (
