@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,6 +26,28 @@ def _slot(term: str, dim: int) -> int:
     return int(hashlib.md5(term.encode()).hexdigest()[:8], 16) % dim
 
 
+def _weights(tokens: pa.Array, dim: int, side: str) -> np.ndarray:
+    """Unit rows of hashed term weights for a batch of token lists.
+
+    Counting runs over the whole batch at once; each different term of the
+    batch is hashed once.
+    """
+    rows = pc.list_parent_indices(tokens).to_numpy().astype(np.int64)
+    coded = pc.list_flatten(tokens).dictionary_encode()
+    terms = coded.dictionary.to_pylist()
+    codes = coded.indices.to_numpy().astype(np.int64)
+    slots = np.array([_slot(term, dim) for term in terms], dtype=np.int64)
+    pairs, counts = np.unique(rows * max(len(terms), 1) + codes, return_counts=True)
+    row, term = np.divmod(pairs, max(len(terms), 1))
+    weight = np.ones(len(pairs)) if side == "query" else 1.0 + np.log(counts)
+    if not len(pairs):
+        return np.zeros((len(tokens), dim))
+    out = np.bincount(row * dim + slots[term], weights=weight, minlength=len(tokens) * dim)
+    out = out.reshape(len(tokens), dim)
+    norms = np.linalg.norm(out, axis=1, keepdims=True)
+    return out / np.where(norms == 0, 1.0, norms)
+
+
 def hashed_terms(tokens: Column, dim: int, side: str = "document") -> Column:
     """Unit vector of hashed term weights.
 
@@ -32,15 +55,12 @@ def hashed_terms(tokens: Column, dim: int, side: str = "document") -> Column:
     from the JVM; only counting and hashing happen in the Python worker.
     """
 
-    @F.pandas_udf(VECTOR)
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(VECTOR)
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            out = np.zeros((len(batch), dim))
-            for row, terms in enumerate(batch):
-                for term, count in Counter(() if terms is None else terms).items():
-                    out[row, _slot(term, dim)] += 1.0 if side == "query" else 1.0 + np.log(count)
-            norms = np.linalg.norm(out, axis=1, keepdims=True)
-            yield pd.Series(list((out / np.where(norms == 0, 1.0, norms)).astype(np.float32)))
+            flat = _weights(batch, dim, side).astype(np.float32).ravel()
+            offsets = np.arange(len(batch) + 1, dtype=np.int32) * dim
+            yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
 
     return encode(tokens)
 
