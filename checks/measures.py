@@ -273,7 +273,7 @@ def ann_recall(spark, d):
     queries, items = _vector_tables(spark, d)
     exact = vector.knn(queries, items, 10)
     cells = vector.train_cells(items, 10)
-    return vector.ann_recall(exact, vector.knn_approx(queries, items, 10, cells=cells, probes=6))
+    return vector.ann_recall(exact, vector.knn_approx(queries, items, 10, cells=cells, probes=8))
 
 
 @query(

@@ -110,13 +110,13 @@ def knn_scoped(spark, d):
 def knn_cells(spark, d):
     queries, items = _vector_tables(spark, d)
     cells = vector.train_cells(items, 10)
-    return vector.knn_approx(queries, items, 10, cells=cells, probes=4)
+    return vector.knn_approx(queries, items, 10, cells=cells, probes=8)
 
 
 @query("R8_recall_by_probes")
 def recall_by_probes(spark, d):
     queries, items = _vector_tables(spark, d)
-    return vector.recall_by_probes(queries, items, 10, vector.train_cells(items, 10), [1, 2, 4, 10])
+    return vector.recall_by_probes(queries, items, 10, vector.train_cells(items, 10), [1, 2, 4, 8, 10])
 
 
 # ---- words -----------------------------------------------------------------
