@@ -322,11 +322,11 @@ def list_memory(spark, d):
 
 def _leaving(spark, d):
     """Users with a signup event leave."""
-    users = derive.events(spark, d).filter("event_type = 'signup' AND value > 10")
+    users = derive.events(spark, d).filter("event_type = 'signup' AND value > 60")
     return users.select(F.concat(F.lit("u"), (F.col("user_id") % 40).cast("string")).alias("user_id")).distinct()
 
 
-_LEAVING = "(SELECT 'u' || (user_id % 40) FROM events WHERE event_type = 'signup' AND value > 10)"
+_LEAVING = "(SELECT 'u' || (user_id % 40) FROM events WHERE event_type = 'signup' AND value > 60)"
 
 
 @query(

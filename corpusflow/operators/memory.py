@@ -67,10 +67,25 @@ def is_refusal(answer: Column) -> Column:
     return head.rlike(REFUSAL)
 
 
+def _question(col: Column) -> Column:
+    return tx.trim_blank(F.coalesce(col, F.lit("")))
+
+
+def question_worth_keeping(question: Column) -> Column:
+    """The part of the decision that looks at the question only."""
+    q = _question(question)
+    return (F.length(q) >= MIN_QUESTION_CHARS) & ~q.rlike(CHITCHAT)
+
+
+def answer_worth_keeping(answer: Column) -> Column:
+    """The part of the decision that looks at the answer only."""
+    a = _question(answer)
+    return (F.length(a) >= MIN_ANSWER_CHARS) & a.rlike(CITATION) & ~is_refusal(answer)
+
+
 def memory_decision(question: Column, answer: Column) -> Column:
     """``ok``, or the first reason not to keep a question and answer pair."""
-    q = tx.trim_blank(F.coalesce(question, F.lit("")))
-    a = tx.trim_blank(F.coalesce(answer, F.lit("")))
+    q, a = _question(question), _question(answer)
     return (
         F.when((q == "") | (a == ""), "empty")
         .when(F.length(q) < MIN_QUESTION_CHARS, "question_too_short")
@@ -88,20 +103,32 @@ def format_pair(question: Column, answer: Column) -> Column:
     )
 
 
-def turn_pairs(messages: DataFrame) -> DataFrame:
-    """Each user turn with the assistant turn that follows it directly."""
-    reply = F.struct("id", "role", "content", "metadata", "created_at")
+def reply_ids(messages: DataFrame) -> DataFrame:
+    """(question_id, message_id): user turns followed directly by an assistant turn.
+
+    Only ids, roles and times are ordered; the texts join later by id.
+    """
     paired = with_next(
-        messages.select("id", "session_id", "role", "content", "metadata", "created_at"),
-        ["session_id"], ["created_at", "id"], reply, "reply",
+        messages.select("id", "session_id", "role", "created_at"),
+        ["session_id"], ["created_at", "id"], F.struct("id", "role"), "reply",
     )
     return paired.filter((F.col("role") == "user") & (F.col("reply.role") == "assistant")).select(
-        "session_id",
-        F.col("content").alias("question"),
-        F.col("reply.id").alias("message_id"),
-        F.col("reply.content").alias("answer"),
-        F.col("reply.metadata").alias("metadata"),
-        F.col("reply.created_at").alias("created_at"),
+        F.col("id").alias("question_id"), F.col("reply.id").alias("message_id")
+    )
+
+
+def _with_texts(ids: DataFrame, questions: DataFrame, answers: DataFrame) -> DataFrame:
+    asked = questions.select(F.col("id").alias("question_id"), "session_id", F.col("content").alias("question"))
+    given = answers.select(
+        F.col("id").alias("message_id"), F.col("content").alias("answer"), "metadata", "created_at"
+    )
+    return ids.join(given, "message_id").join(asked, "question_id").drop("question_id")
+
+
+def turn_pairs(messages: DataFrame) -> DataFrame:
+    """Each user turn with the assistant turn that follows it directly."""
+    return _with_texts(
+        reply_ids(messages), messages.filter("role = 'user'"), messages.filter("role = 'assistant'")
     )
 
 
@@ -109,9 +136,13 @@ def memory_rows(pairs: DataFrame) -> DataFrame:
     """Kept pairs with their memory text and previews; needs a finished answer."""
     finished = F.get_json_object("metadata", "$.stop_reason") == FINISHED
     kept = pairs.filter(finished & (memory_decision(F.col("question"), F.col("answer")) == "ok"))
+    return _memory_columns(kept)
+
+
+def _memory_columns(kept: DataFrame) -> DataFrame:
     return kept.select(
         F.col("message_id").alias("id"),
-        *[c for c in ("user_id",) if c in pairs.columns],
+        *[c for c in ("user_id",) if c in kept.columns],
         "session_id",
         "message_id",
         format_pair(F.col("question"), F.col("answer")).alias("content"),
@@ -125,8 +156,12 @@ def build_memory(
     messages: DataFrame, sessions: DataFrame, *, dim: int | None = 64, encoder: Encoder | None = None
 ) -> DataFrame:
     """Memory table from whole conversations; ``dim`` None leaves out the vector."""
+    # Each side is cut down before the texts are joined.
+    finished = F.get_json_object("metadata", "$.stop_reason") == FINISHED
+    asked = messages.filter((F.col("role") == "user") & question_worth_keeping(F.col("content")))
+    given = messages.filter((F.col("role") == "assistant") & finished & answer_worth_keeping(F.col("content")))
     owners = sessions.select("session_id", "user_id")
-    rows = memory_rows(turn_pairs(messages).join(owners, "session_id"))
+    rows = _memory_columns(_with_texts(reply_ids(messages), asked, given).join(owners, "session_id"))
     return rows if dim is None else embed(rows, "content", dim=dim, encoder=encoder)
 
 
