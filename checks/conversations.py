@@ -321,12 +321,12 @@ def list_memory(spark, d):
 
 
 def _leaving(spark, d):
-    """Users with a signup event leave."""
-    users = derive.events(spark, d).filter("event_type = 'signup' AND value > 60")
-    return users.select(F.concat(F.lit("u"), (F.col("user_id") % 40).cast("string")).alias("user_id")).distinct()
+    """The users numbered like the nations of one region leave."""
+    nations = derive.given(spark, d, "nation").filter("n_regionkey = 2")
+    return nations.select(F.concat(F.lit("u"), F.col("n_nationkey").cast("string")).alias("user_id"))
 
 
-_LEAVING = "(SELECT 'u' || (user_id % 40) FROM events WHERE event_type = 'signup' AND value > 60)"
+_LEAVING = "(SELECT 'u' || n_nationkey FROM nation WHERE n_regionkey = 2)"
 
 
 @query(

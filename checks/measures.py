@@ -40,6 +40,11 @@ def turn_usage(spark, d):
     return flat(usage.turn_usage(derive.messages(spark, d)))
 
 
+@query("A4_latest_usage", ctes(f"SELECT * REPLACE ({seconds('created_at')} AS created_at) FROM usage_ ORDER BY usage_.created_at DESC, id LIMIT 50"))
+def latest_usage(spark, d):
+    return flat(usage.turn_usage(derive.messages(spark, d), latest=50))
+
+
 # Rates per million tokens by model, derived from the models that occur.
 @query(
     "A5_usage_cost",

@@ -207,10 +207,10 @@ def memory_stats(memory: DataFrame) -> DataFrame:
 
 
 def list_memory(memory: DataFrame) -> DataFrame:
-    """Memories with a short preview; sort by user and time to page through."""
+    """Memories with a short preview, newest first per user."""
     return memory.select(
         "id", "user_id", "session_id", F.substring("content", 1, LIST_CHARS).alias("preview"), "created_at"
-    )
+    ).orderBy("user_id", F.col("created_at").desc(), "id")
 
 
 def clear(memory: DataFrame, users: DataFrame) -> tuple[DataFrame, DataFrame]:

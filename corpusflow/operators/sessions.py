@@ -98,9 +98,12 @@ def append_messages(
 def list_messages(messages: DataFrame, sessions: DataFrame, limit: int | None = None) -> DataFrame:
     """Messages with their owner, oldest first; ``limit`` keeps the oldest per session."""
     mine = messages.join(sessions.select("session_id", "user_id"), "session_id")
-    if limit is None:
-        return mine
-    return top_per_group(mine, ["session_id"], [F.col("created_at"), F.col("id")], limit, "position").drop("position")
+    if limit is not None:
+        mine = top_per_group(
+            mine, ["session_id"], [F.col("created_at"), F.col("id")], limit, "position"
+        ).drop("position")
+    # A sort by range: a long session spans several tasks.
+    return mine.orderBy("session_id", "created_at", "id")
 
 
 def recent_history(messages: DataFrame, n: int = HISTORY_TURNS) -> DataFrame:

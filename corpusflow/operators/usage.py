@@ -75,14 +75,17 @@ def cited_in(messages: DataFrame, chunk_id: int) -> DataFrame:
     ).select("id", "session_id", F.substring("content", 1, PREVIEW_CHARS).alias("preview"))
 
 
-def turn_usage(messages: DataFrame) -> DataFrame:
-    """Model, tokens and retrieval mode per assistant turn; one JSON parse per row."""
+def turn_usage(messages: DataFrame, latest: int | None = None) -> DataFrame:
+    """Model, tokens and retrieval mode per assistant turn; one JSON parse per row.
+
+    ``latest`` keeps that many newest turns, as the report does.
+    """
     meta = messages.filter(F.col("role") == "assistant").withColumn("__m", F.try_parse_json("metadata"))
 
     def field(path: str, kind: str) -> Column:
         return F.try_variant_get("__m", path, kind)
 
-    return meta.select(
+    turns = meta.select(
         "id",
         "session_id",
         field("$.model", "string").alias("model"),
@@ -93,6 +96,7 @@ def turn_usage(messages: DataFrame) -> DataFrame:
         field("$.retrieval.reranked", "boolean").alias("reranked"),
         "created_at",
     )
+    return turns if latest is None else turns.orderBy(F.col("created_at").desc(), "id").limit(latest)
 
 
 def usage_cost(turns: DataFrame, rates: DataFrame) -> DataFrame:

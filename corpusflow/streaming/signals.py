@@ -19,7 +19,7 @@ TRIGGER = "user_id bigint, fired_at timestamp, signals bigint"
 class RefreshThrottle(StatefulProcessor):
     """Fires after 3 new signals, or on a new one 60 s after the last refresh.
 
-    Input rows are counts per user and time, so a very active user brings few
+    Input rows are counts per user and second, so a very active user brings few
     rows. State per user is two numbers.
     """
 
@@ -28,7 +28,8 @@ class RefreshThrottle(StatefulProcessor):
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         pending, last = self.state.get() if self.state.exists() else (0, None)
-        frame = pd.concat(list(rows)).sort_values("ts", kind="stable")
+        # Counts of one second may come from several tasks.
+        frame = _combine(pd.concat(list(rows)), signals=("signals", "sum"))
         fired: list[tuple[pd.Timestamp, int]] = []
         for row in frame.itertuples(index=False):
             now = int(pd.Timestamp(row.ts).timestamp() * 1000)
@@ -49,10 +50,25 @@ class RefreshThrottle(StatefulProcessor):
         pass
 
 
+def _combine(frame: pd.DataFrame, **signals: tuple[str, str]) -> pd.DataFrame:
+    """One row per user and second, in time order."""
+    second = frame["ts"].dt.floor("s").rename("second")
+    merged = frame.groupby(["user_id", second], as_index=False).agg(ts=("ts", "min"), **signals)
+    return merged.sort_values("ts", kind="stable")[["user_id", "ts", "signals"]]
+
+
+def _per_second(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Counts of a batch per user and second, before anything is shuffled."""
+    for batch in batches:
+        yield _combine(batch, signals=("ts", "size"))
+
+
 def profile_triggers_stream(signals: DataFrame) -> DataFrame:
     """``signals``: user_id, ts. One row per due refresh."""
     use_state_store(signals.sparkSession)
-    counted = signals.select("user_id", "ts", F.lit(1).cast("bigint").alias("signals"))
+    counted = signals.select(F.col("user_id").cast("bigint").alias("user_id"), "ts").mapInPandas(
+        _per_second, "user_id bigint, ts timestamp, signals bigint"
+    )
     return counted.groupBy("user_id").transformWithStateInPandas(
         statefulProcessor=RefreshThrottle(),
         outputStructType=TRIGGER,
