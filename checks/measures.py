@@ -325,7 +325,7 @@ def write_report(spark, d):
     return rows.groupBy("part", "metric").agg(F.count(F.lit(1)).alias("rows"))
 
 
-@query("I9_refresh_stats")
+@query("I9_refresh_stats", "SELECT 'analyzed_documents' AS \"table\", count(*) AS rows FROM documents")
 def refresh_stats(spark, d):
     path = fresh_dir(spark, "analyzed")
     derive.documents(spark, d).write.mode("overwrite").option("path", path).saveAsTable("analyzed_documents")
