@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from checks import derive
 from checks.catalog import QUERIES
-from corpusflow.operators import context, encode, filters, fusion, lexical, vector
+from corpusflow.operators import fusion, lexical, vector
 from corpusflow.session import get_spark
 from corpusflow.streaming.run import fresh_dir
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from checks import derive, sqlkit
 from checks.preparation import sql_chunks
 from checks.registry import flat, query
-from checks.sqlkit import AS_OF, CTES, ctes, seconds
+from checks.sqlkit import CTES, ctes
 from corpusflow.functions import keys
 from corpusflow.functions import text as tx
 from corpusflow.operators import corpus, load

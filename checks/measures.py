@@ -8,7 +8,7 @@ from checks import derive, sqlkit
 from checks.registry import flat, query
 from checks.retrieval import _vector_tables
 from checks.sqlkit import CTES, ctes, seconds, similarity
-from corpusflow.operators import encode, evaluation, fusion, lexical, usage, vector
+from corpusflow.operators import encode, evaluation, fusion, lexical, memory, usage, vector
 from corpusflow.sources import tables
 from corpusflow.streaming.run import fresh_dir
 
@@ -179,7 +179,10 @@ def citation_validity(spark, d):
     return evaluation.citation_validity(_answers(spark, d), _eval_hits(spark, d))
 
 
-_REFUSED = f"regexp_matches(substr({sqlkit.trim_blank('answer')}, 1, 500), '{sqlkit.word('|'.join(__import__('corpusflow.operators.memory', fromlist=['x']).REFUSALS).replace(chr(39), chr(39) * 2), open_end=True)}')"
+_REFUSED = (
+    f"regexp_matches(substr({sqlkit.trim_blank('answer')}, 1, 500), "
+    f"'{sqlkit.word('|'.join(memory.REFUSALS), open_end=True).replace(chr(39), chr(39) * 2)}')"
+)
 
 
 @query("E3_refusal_check", ctes(f"SELECT id, CASE WHEN no_match_expected THEN {_REFUSED} END AS refusal_correct FROM answers"))

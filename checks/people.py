@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks import derive, sqlkit
+from checks import derive
 from checks.registry import flat, query
 from checks.sqlkit import AS_OF, CTES, ctes, seconds
 from corpusflow.operators import context, favorites, profile, uploads
@@ -338,9 +338,9 @@ CTES["part_reasons"] = """
 CTES["first_parts"] = """
   SELECT * FROM part_reasons WHERE reason IS NULL QUALIFY row_number() OVER (PARTITION BY upload_id, user_id, part_index ORDER BY created_at) = 1"""
 CTES["upload_states"] = """
-  SELECT *, CASE WHEN have < total_parts THEN 'incomplete' WHEN NOT body LIKE '\\%PDF-%' ESCAPE '\\' THEN 'not_pdf' ELSE 'complete' END AS status FROM (
+  SELECT *, CASE WHEN have < total_parts THEN 'incomplete' WHEN NOT starts_with(body, '%PDF-') THEN 'not_pdf' ELSE 'complete' END AS status FROM (
     SELECT upload_id, user_id, min(filename) AS filename, count(*) AS have, max(total_parts) AS total_parts, sum(octet_length(encode(data)))::BIGINT AS total_bytes,
-           string_agg(data, '' ORDER BY part_index) AS body FROM first_parts GROUP BY upload_id, user_id)""".replace("\\\\", "\\")
+           string_agg(data, '' ORDER BY part_index) AS body FROM first_parts GROUP BY upload_id, user_id)"""
 
 
 def _valid_parts(spark, d):

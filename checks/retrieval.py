@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks import derive, sqlkit
-from checks.derive import DIM
 from checks.registry import flat, query
-from checks.sqlkit import AS_OF, ctes, similarity
-from corpusflow.operators import context, encode, filters, fusion, lexical, vector
+from checks.sqlkit import ctes, similarity
+from corpusflow.operators import context, filters, fusion, lexical, vector
 
 # ---- filters ---------------------------------------------------------------
 

@@ -7,7 +7,6 @@ from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from corpusflow.operators.uploads import MAX_TOTAL_BYTES, PDF_HEAD, TTL_HOURS, validate_parts
