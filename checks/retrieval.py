@@ -275,6 +275,43 @@ def shape_sources(spark, d):
     )
 
 
+_VISIBLE = "(c.session_id IS NULL OR coalesce(c.owner = q.user_id, false))"
+_ASKED = """
+  SELECT *, least(50, greatest(1, coalesce(top_k, 8))) AS tk, greatest(least(50, greatest(1, coalesce(top_k, 8))), coalesce(candidate_k, 32)) AS ck FROM questions"""
+
+
+@query(
+    "R10_R14_retrieve",
+    ctes(f"""WITH limits AS MATERIALIZED ({_ASKED}),
+      seen AS MATERIALIZED (
+        SELECT s.query_id, s.chunk_id, s.sim, NULL::DOUBLE AS lexical, row_number() OVER (PARTITION BY s.query_id ORDER BY s.sim DESC, s.chunk_id) AS r, q.ck
+        FROM sims s JOIN limits q USING (query_id) JOIN owned c USING (chunk_id) WHERE {_VISIBLE} QUALIFY r <= q.ck
+        UNION ALL
+        SELECT s.query_id, s.chunk_id, NULL, s.lexical, row_number() OVER (PARTITION BY s.query_id ORDER BY s.lexical DESC, s.chunk_id) AS r, q.ck
+        FROM lexical s JOIN limits q USING (query_id) JOIN owned c USING (chunk_id) WHERE {_VISIBLE} QUALIFY r <= q.ck),
+      joined AS MATERIALIZED (
+        SELECT query_id, chunk_id, coalesce(max(sim), 0.0::DOUBLE) AS vector_score, coalesce(max(lexical), 0.0::DOUBLE) AS lexical_score,
+               round(sum(1.0::DOUBLE / (60 + r)), 10) AS rrf_score, any_value(ck) AS ck FROM seen GROUP BY query_id, chunk_id),
+      best AS MATERIALIZED (
+        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, chunk_id) AS rnk FROM joined QUALIFY rnk <= ck)
+      SELECT query_id, 'S' || position AS sid, chunk_id AS id, nullif(rerank_score, 0) AS rerank_score, vector_score, lexical_score, rrf_score FROM (
+        SELECT b.*, row_number() OVER (PARTITION BY b.query_id ORDER BY rerank_score DESC NULLS LAST, b.rnk) AS position FROM (
+          SELECT h.*, q.tk, CASE WHEN count(*) OVER (PARTITION BY h.query_id) > 1 THEN
+              CASE WHEN len(w.terms) = 0 THEN 0.0::DOUBLE ELSE round(len(list_intersect(w.terms, k.toks)) / len(w.terms)::DOUBLE, 6) END END AS rerank_score
+          FROM best h JOIN limits q USING (query_id) JOIN query_words w USING (query_id) JOIN chunk_words k USING (chunk_id)) b
+        QUALIFY position <= b.tk)"""),
+)
+def retrieve(spark, d):
+    """The whole way from questions to source rows, with each question's own limits and scope."""
+    from corpusflow.plans import answer
+
+    chunks = derive.search_chunks(spark, d)
+    sources = answer.retrieve(derive.questions(spark, d), chunks, derive.sessions(spark, d))
+    return flat(
+        sources.select("query_id", "sid", "id", "rerank_score", "vector_score", "lexical_score", "rrf_score")
+    )
+
+
 @query("R15_snippet", f"SELECT doc_id, {sqlkit.snippet('text')} AS snippet FROM documents")
 def snippet(spark, d):
     from corpusflow.functions import text as tx

@@ -85,7 +85,7 @@ def attach_chunks(hits: DataFrame, chunks: DataFrame, columns: list[str], *, fit
     return join_checked(chunks.select("chunk_id", *columns), hits, "chunk_id", small_fits=fits)
 
 
-def vector_hits(queries: DataFrame, chunks: DataFrame, k: int, *, filters: bool = False, scope: bool = False) -> DataFrame:
+def vector_hits(queries: DataFrame, chunks: DataFrame, k: int | str, *, filters: bool = False, scope: bool = False) -> DataFrame:
     items = chunks.withColumnRenamed("chunk_id", "item_id")
     return vector.knn(queries, items, k, filters=filters, scope=scope)
 
@@ -93,7 +93,7 @@ def vector_hits(queries: DataFrame, chunks: DataFrame, k: int, *, filters: bool
 def hybrid_search(
     queries: DataFrame,
     chunks: DataFrame,
-    candidate_k: int = CANDIDATE_K,
+    candidate_k: int | str = CANDIDATE_K,
     rrf_k: int = RRF_K,
     *,
     stats: DataFrame | None = None,
@@ -103,20 +103,23 @@ def hybrid_search(
 ) -> DataFrame:
     """Vector and lexical lists fused, best ``candidate_k`` per query.
 
+    ``candidate_k`` is a number, or the name of a query column (at most 200).
     ``queries``: query_id, text, embedding (and filters, user_id).
     ``chunks``: chunk_id, tokens, embedding and the payload ``columns``.
     """
     near = vector_hits(queries, chunks, candidate_k, filters=filters, scope=scope)
     worded = lexical.lexical_search(queries, chunks, candidate_k, stats=stats, filters=filters, scope=scope)
+    most = candidate_k if isinstance(candidate_k, int) else MAX_CANDIDATE_K
+    fused, limit = fuse(near, worded, rrf_k), candidate_k
+    if isinstance(candidate_k, str):
+        fused = join_checked(fused, queries.select("query_id", F.col(candidate_k).alias("__k")), "query_id")
+        limit = F.col("__k")
     best = top_per_group(
-        fuse(near, worded, rrf_k),
-        ["query_id"],
-        [F.col("rrf_score").desc(), F.col("chunk_id")],
-        candidate_k,
-    )
+        fused, ["query_id"], [F.col("rrf_score").desc(), F.col("chunk_id")], limit
+    ).drop("__k")
     if not columns:
         return best
-    fits = fits_broadcast(queries, rows_each=candidate_k, limit=BROADCAST_ROWS)
+    fits = fits_broadcast(queries, rows_each=most, limit=BROADCAST_ROWS)
     return attach_chunks(best, chunks, columns, fits=fits)
 
 

@@ -17,6 +17,7 @@ from corpusflow.session import fits_broadcast, join_checked
 
 # --- fixed values -----------------------------------------------------------
 COVER_WEIGHT = 0.1
+MAX_CANDIDATES = 200
 # ---------------------------------------------------------------------------
 
 # Copies of a probe when both sides are shuffled: splits a frequent term's rows.
@@ -202,19 +203,27 @@ def rank_cover(matches: DataFrame, key: str = "query_id") -> DataFrame:
 def lexical_search(
     queries: DataFrame,
     chunks: DataFrame,
-    k: int,
+    k: int | str,
     *,
+    most: int = MAX_CANDIDATES,
     stats: DataFrame | None = None,
     filters: bool = False,
     scope: bool = False,
 ) -> DataFrame:
     """Best ``k`` matching chunks per query: query_id, chunk_id, lexical, rank.
 
-    Equal queries are searched once; each task keeps its best ``k`` per ask
-    before anything is shuffled.
+    ``k`` is a number, or the name of a query column with values up to ``most``.
+    Equal queries are searched once; each task keeps its best per ask before
+    anything is shuffled.
     """
     fits = _fits(queries)
     asks, members = distinct_asks(queries, _extra(filters, scope))
     scored = rank_cover(_match(asks, chunks, stats=stats, filters=filters, scope=scope, fits=fits), "ask_id")
-    best = top_per_group(scored, ["ask_id"], [F.col("lexical").desc(), F.col("chunk_id")], k)
-    return join_checked(best, members, "ask_id", small_fits=fits).select("query_id", "chunk_id", "lexical", "rank")
+    order = [F.col("lexical").desc(), F.col("chunk_id")]
+    best = top_per_group(scored, ["ask_id"], order, k if isinstance(k, int) else most)
+    if isinstance(k, str):
+        members = members.join(queries.select("query_id", F.col(k).alias("__k")), "query_id")
+    found = join_checked(best, members, "ask_id", small_fits=fits)
+    if isinstance(k, str):
+        found = found.filter(F.col("rank") <= F.col("__k"))
+    return found.select("query_id", "chunk_id", "lexical", "rank")

@@ -25,17 +25,17 @@ def retrieve(
     """Rewrite, hybrid search within scope, rerank, shape: source rows per question.
 
     ``chunks`` carry ``tokens`` and ``embedding``; ``questions``: query_id, text,
-    user_id, session_id.
+    user_id, top_k, candidate_k (null for the defaults).
     """
-    rewritten = context.rewrite_rooms(questions).withColumn("text", F.col("rewritten"))
+    rewritten = context.rewrite_rooms(fusion.search_params(questions)).withColumn("text", F.col("rewritten"))
     asked = embed(rewritten, "text", dim=dim, side="query", encoder=encoder)
     scoped = with_owner(chunks, sessions)
     hits = fusion.hybrid_search(
-        asked, scoped, filters=filters, scope=True, stats=stats,
+        asked, scoped, "candidate_k", filters=filters, scope=True, stats=stats,
         columns=["doc_id", "url", "chunk_index", "content", "metadata"],
     )
-    texts = rewritten.select("query_id", "text")
-    return fusion.shape_sources(fusion.rerank(hits.join(texts, "query_id"), fusion.TOP_K, scorer))
+    texts = rewritten.select("query_id", "text", "top_k")
+    return fusion.shape_sources(fusion.rerank(hits.join(texts, "query_id"), "top_k", scorer))
 
 
 def whole_document_sources(questions: DataFrame, chunks: DataFrame, sessions: DataFrame) -> DataFrame:
