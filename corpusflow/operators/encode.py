@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -21,7 +20,6 @@ Encoder = Callable[[list[str], str], np.ndarray]
 VECTOR = T.ArrayType(T.FloatType())
 
 
-@lru_cache(maxsize=200_000)
 def _slot(term: str, dim: int) -> int:
     return int(hashlib.md5(term.encode()).hexdigest()[:8], 16) % dim
 

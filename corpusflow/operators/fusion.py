@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from corpusflow.functions import text as tx
 from corpusflow.operators import lexical, vector
-from corpusflow.operators.ordered import top_per_group
+from corpusflow.operators.ordered import largest, top_per_group
 from corpusflow.session import BROADCAST_ROWS, fits_broadcast, join_checked
 
 # --- fixed values -----------------------------------------------------------
@@ -20,7 +20,6 @@ RRF_K = 60
 TOP_K = 8
 MAX_TOP_K = 50
 CANDIDATE_K = 32
-MAX_CANDIDATE_K = 200
 # ---------------------------------------------------------------------------
 
 DIGITS = 6
@@ -103,13 +102,12 @@ def hybrid_search(
 ) -> DataFrame:
     """Vector and lexical lists fused, best ``candidate_k`` per query.
 
-    ``candidate_k`` is a number, or the name of a query column (at most 200).
+    ``candidate_k`` is a number or the name of a query column.
     ``queries``: query_id, text, embedding (and filters, user_id).
     ``chunks``: chunk_id, tokens, embedding and the payload ``columns``.
     """
     near = vector_hits(queries, chunks, candidate_k, filters=filters, scope=scope)
     worded = lexical.lexical_search(queries, chunks, candidate_k, stats=stats, filters=filters, scope=scope)
-    most = candidate_k if isinstance(candidate_k, int) else MAX_CANDIDATE_K
     fused, limit = fuse(near, worded, rrf_k), candidate_k
     if isinstance(candidate_k, str):
         fused = join_checked(fused, queries.select("query_id", F.col(candidate_k).alias("__k")), "query_id")
@@ -119,6 +117,7 @@ def hybrid_search(
     ).drop("__k")
     if not columns:
         return best
+    most = candidate_k if isinstance(candidate_k, int) else largest(queries, candidate_k)
     fits = fits_broadcast(queries, rows_each=most, limit=BROADCAST_ROWS)
     return attach_chunks(best, chunks, columns, fits=fits)
 

@@ -12,12 +12,11 @@ from pyspark.sql import functions as F
 
 from corpusflow.functions import text as tx
 from corpusflow.operators import filters as flt
-from corpusflow.operators.ordered import top_per_group
+from corpusflow.operators.ordered import largest, top_per_group
 from corpusflow.session import fits_broadcast, join_checked
 
 # --- fixed values -----------------------------------------------------------
 COVER_WEIGHT = 0.1
-MAX_CANDIDATES = 200
 # ---------------------------------------------------------------------------
 
 # Copies of a probe when both sides are shuffled: splits a frequent term's rows.
@@ -205,14 +204,13 @@ def lexical_search(
     chunks: DataFrame,
     k: int | str,
     *,
-    most: int = MAX_CANDIDATES,
     stats: DataFrame | None = None,
     filters: bool = False,
     scope: bool = False,
 ) -> DataFrame:
     """Best ``k`` matching chunks per query: query_id, chunk_id, lexical, rank.
 
-    ``k`` is a number, or the name of a query column with values up to ``most``.
+    ``k`` is a number or the name of a query column.
     Equal queries are searched once; each task keeps its best per ask before
     anything is shuffled.
     """
@@ -220,7 +218,7 @@ def lexical_search(
     asks, members = distinct_asks(queries, _extra(filters, scope))
     scored = rank_cover(_match(asks, chunks, stats=stats, filters=filters, scope=scope, fits=fits), "ask_id")
     order = [F.col("lexical").desc(), F.col("chunk_id")]
-    best = top_per_group(scored, ["ask_id"], order, k if isinstance(k, int) else most)
+    best = top_per_group(scored, ["ask_id"], order, k if isinstance(k, int) else largest(queries, k))
     if isinstance(k, str):
         members = members.join(queries.select("query_id", F.col(k).alias("__k")), "query_id")
     found = join_checked(best, members, "ask_id", small_fits=fits)

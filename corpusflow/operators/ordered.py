@@ -93,6 +93,11 @@ def top_per_group(df: DataFrame, group: list[str], order: list[Column], n: int |
     return ranked.filter(F.col(rank) <= n)
 
 
+def largest(df: DataFrame, column: str) -> int:
+    """Largest value of a limit column, 0 for an empty table."""
+    return int(df.agg(F.max(column)).first()[0] or 0)
+
+
 def newest_per_key(df: DataFrame, key: list[str], order: Column, keep: list[str]) -> DataFrame:
     """One row per key, the one with the largest ``order``; combines map-side."""
     best = df.groupBy(*key).agg(F.max_by(F.struct(*keep), order).alias("__best"))

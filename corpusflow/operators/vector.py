@@ -122,6 +122,8 @@ def _prepare(
 ) -> tuple[DataFrame, DataFrame]:
     per_query = [k] if isinstance(k, str) else []
     cells = [F.col(cell).alias("cell")] if cell else []
+    # A row without a vector has no distance to anything.
+    queries, items = (side.filter(F.col("embedding").isNotNull()) for side in (queries, items))
     q = queries.select(
         F.col("query_id").cast("bigint"),
         F.col("embedding").alias("query_vector"),
@@ -184,11 +186,11 @@ def knn_within(queries: DataFrame, items: DataFrame, k: int | str, *, cell: str,
 
 def _scan(queries: DataFrame, items: DataFrame, k: int | str, rules: PairRules) -> DataFrame:
     """One pass over the items with the whole query matrix in every task."""
-    shared = queries.sparkSession.sparkContext.broadcast(_block(queries.toArrow(), rules, k))
+    # Plain arrays travel; the task puts its block together from them.
+    shared = queries.sparkSession.sparkContext.broadcast(vars(_block(queries.toArrow(), rules, k)))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = shared.value
-        best = _Best(block)
+        best = _Best(QueryBlock(**shared.value))
         for batch in batches:
             best.add(batch, rules)
         yield pa.RecordBatch.from_arrays(best.arrays(), names=NAMES)
@@ -289,6 +291,7 @@ def knn_approx(
     split into blocks.
     """
     rules = PairRules(filters, scope)
+    items = items.filter(F.col("embedding").isNotNull())
     placed = items if "cell" in items.columns else assign_cells(items, cells)
     q, _ = _prepare(queries, placed, k, rules)
     i = placed.select(

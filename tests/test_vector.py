@@ -124,6 +124,13 @@ def test_empty_sides(spark, vectors):
     assert vector.knn(table(spark, q, "query_id").filter("false"), table(spark, i, "item_id"), 3).count() == 0
 
 
+def test_rows_without_a_vector_do_not_take_part(spark, vectors):
+    q, i = vectors
+    items = table(spark, i, "item_id").withColumn("embedding", F.when(F.col("item_id") != 7, F.col("embedding")))
+    hits = vector.knn(table(spark, q, "query_id"), items, 400).filter("query_id = 0").collect()
+    assert len(hits) == 399 and 7 not in {h.item_id for h in hits}
+
+
 def test_pluggable_encoder_is_checked(spark):
     texts = spark.createDataFrame([("a",), (" ",), (None,)], "content string")
     seen = lambda batch, side: np.array([[len(t), 1.0 if side == "query" else 0.0] for t in batch])
