@@ -166,7 +166,7 @@ def source_text(metadata: Column) -> Column:
     return F.concat(header, F.lit("\n"), F.col("content"))
 
 
-def _ordered_text(order: Column, text: Column, glue: str) -> Column:
+def ordered_text(order: Column, text: Column, glue: str) -> Column:
     """Texts of a small group joined in order (sources, turns, memories)."""
     rows = F.array_sort(F.collect_list(F.struct(order.alias("o"), text.alias("t"))))
     return F.array_join(F.transform(rows, lambda r: r["t"]), glue)
@@ -175,7 +175,7 @@ def _ordered_text(order: Column, text: Column, glue: str) -> Column:
 def sources_block(hits: DataFrame) -> DataFrame:
     """One text per query: its sources by position, at most top_k of them."""
     return hits.groupBy("query_id").agg(
-        _ordered_text(F.col("position"), source_text(F.col("metadata")), SOURCE_GLUE).alias("sources_block")
+        ordered_text(F.col("position"), source_text(F.col("metadata")), SOURCE_GLUE).alias("sources_block")
     )
 
 
@@ -184,7 +184,7 @@ def memories_block(memories: DataFrame) -> DataFrame:
     when = F.coalesce(F.date_format("created_at", "yyyy-MM-dd"), F.lit("earlier"))
     line = F.concat(F.lit("["), F.col("mid"), F.lit("] ("), when, F.lit(") "), F.col("content"))
     return memories.groupBy("query_id").agg(
-        F.concat_ws("\n", F.lit(MEMORY_HEADER), _ordered_text(F.col("position"), line, "\n")).alias("memories_block")
+        F.concat_ws("\n", F.lit(MEMORY_HEADER), ordered_text(F.col("position"), line, "\n")).alias("memories_block")
     )
 
 

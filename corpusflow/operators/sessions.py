@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusflow.functions import text as tx
-from corpusflow.operators.context import _ordered_text
+from corpusflow.operators.context import ordered_text
 from corpusflow.operators.load import upsert
 from corpusflow.operators.ordered import top_per_group
 
@@ -137,7 +137,7 @@ def transcript(history: DataFrame) -> DataFrame:
     """``User:`` / ``Assistant:`` text per session from a short history."""
     speaker = F.when(F.col("role") == "assistant", "Assistant").otherwise("User")
     line = F.concat(speaker, F.lit(": "), F.col("content"))
-    return history.groupBy("session_id").agg(_ordered_text(F.col("position"), line, "\n\n").alias("transcript"))
+    return history.groupBy("session_id").agg(ordered_text(F.col("position"), line, "\n\n").alias("transcript"))
 
 
 def followup_context(messages: DataFrame, questions: DataFrame, n: int = REWRITE_TURNS) -> DataFrame:

@@ -47,17 +47,18 @@ def assemble_turns(events: DataFrame) -> DataFrame:
     """One row per request that was closed: text in order, last value of the rest.
 
     The answer text of one request is the result cell, so its pieces meet here.
+    An event that arrives twice counts once.
     """
     def last(kind: str, column: str):
         return F.max_by(column, F.when(F.col("type") == kind, F.col("seq")))
 
     piece = F.when(F.col("type") == "delta", F.struct("seq", "text"))
-    pieces = F.array_sort(F.collect_list(piece))
+    pieces = F.array_sort(F.collect_set(piece))
     return (
         events.groupBy("request_id")
         .agg(
             F.array_join(F.transform(pieces, lambda p: p["text"]), "").alias("content"),
-            F.count_if(F.col("type") == "delta").alias("deltas"),
+            F.size(pieces).cast("bigint").alias("deltas"),
             last("model", "model").alias("model"),
             last("sources", "mode").alias("mode"),
             last("done", "stop_reason").alias("stop_reason"),

@@ -40,7 +40,7 @@ def test_events_out_of_order_across_batches_and_repeated(spark, tmp_path):
     assert len(got) == out.count() == 2
     assert (got["a"].content, got["a"].deltas, got["a"].stop_reason, got["a"].n_sources) == ("Hello", 2, "end_turn", 2)
     assert (got["b"].content, got["b"].error_kind) == ("x", "overloaded")
-    batch = turns.assemble_turns(spark.createDataFrame(a + b, EVENT))
+    batch = turns.assemble_turns(spark.createDataFrame(a + b + a, EVENT))
     assert sorted(map(tuple, batch.collect())) == sorted(map(tuple, out.collect()))
 
 
