@@ -77,6 +77,43 @@ def user_context(spark, d):
     )
 
 
+# Every other first sentence asks about a document as a whole.
+_WHOLE = """
+  SELECT query_id, CASE WHEN query_id % 2000 = 0 THEN 'Summarize this document: ' || text ELSE text END AS text, user_id, session_id FROM questions"""
+
+
+@query(
+    "R25_ask_batch",
+    ctes(f"""WITH asked AS MATERIALIZED ({_WHOLE}),
+      held AS MATERIALIZED (SELECT DISTINCT session_id AS k FROM chunks WHERE session_id IS NOT NULL UNION SELECT DISTINCT owner FROM owned WHERE owner IS NOT NULL)
+      SELECT query_id, query_id % 2000 = 0 AND (session_id IN (SELECT k FROM held) OR coalesce(user_id IN (SELECT k FROM held), false)) AS whole_document,
+             contains(text, 'Summarize this document: ') AS has_lead FROM asked"""),
+)
+def ask_batch(spark, d):
+    """One model input per question, whole-document questions from document slices."""
+    from corpusflow.plans import answer
+    from corpusflow.session import settled
+
+    q = F.col("query_id")
+    questions = derive.questions(spark, d).withColumn(
+        "text", F.when(q % 2000 == 0, F.concat(F.lit("Summarize this document: "), "text")).otherwise(F.col("text"))
+    )
+    sources, inputs, _ = answer.ask(
+        settled(questions),
+        settled(derive.search_chunks(spark, d)),
+        derive.sessions(spark, d),
+        settled(derive.memory(spark, d, derive.DIM)),
+        _context(spark, d),
+        derive.as_of(),
+    )
+    # Slices carry the fixed score 1 and no word or vector score.
+    whole = sources.groupBy("query_id").agg(
+        F.bool_and((F.col("score") == 1.0) & (F.col("vector_score") == 0) & (F.col("rrf_score") == 0)).alias("whole_document")
+    )
+    lead = F.contains("prompt", F.lit("Question: Summarize this document: "))
+    return inputs.join(whole, "query_id").select("query_id", "whole_document", lead.alias("has_lead"))
+
+
 @query("F2_distinct_on", ctes("SELECT user_id, position, title, doc_id, total_pages FROM uploads6"))
 def distinct_on(spark, d):
     got = profile.recent_uploads(_docs(spark, d), derive.sessions(spark, d))

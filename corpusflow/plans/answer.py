@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusflow.operators import context, fusion, memory, profile
 from corpusflow.operators.encode import Encoder, embed
 from corpusflow.operators.filters import with_owner
 from corpusflow.operators.fusion import PairScorer
+from corpusflow.session import fits_broadcast, settled
 
 
 def retrieve(
@@ -43,7 +45,20 @@ def whole_document_sources(questions: DataFrame, chunks: DataFrame, sessions: Da
     requests = questions.filter(context.is_meta_doc(F.col("text"))).select(
         "query_id", "user_id", "session_id", F.coalesce("top_k", F.lit(fusion.TOP_K)).alias("top_k")
     )
-    return context.doc_chunks(chunks, sessions, requests)
+    picked = context.doc_chunks(chunks, sessions, requests).select("query_id", "chunk_id", "pos")
+    # At most 20 rows per question, in document order.
+    order = W.partitionBy("query_id").orderBy("pos")
+    zero = F.lit(0.0)
+    rows = fusion.attach_chunks(
+        picked.withColumn("position", F.row_number().over(order)).drop("pos"),
+        chunks,
+        ["doc_id", "url", "chunk_index", "content", "metadata"],
+        fits=fits_broadcast(questions, rows_each=context.SLICE_MAX),
+    )
+    scored = rows.withColumns(
+        {"rerank_score": F.lit(None).cast("double"), "vector_score": zero, "lexical_score": zero, "rrf_score": zero}
+    )
+    return fusion.shape_sources(scored).withColumn("score", F.lit(1.0))
 
 
 def prompts(
@@ -64,6 +79,35 @@ def recalled(questions: DataFrame, memories: DataFrame, as_of: Column, *, dim: i
     return memory.recall(embed(questions, "text", dim=dim, side="query", encoder=encoder), memories, as_of)
 
 
+def ask(
+    questions: DataFrame,
+    chunks: DataFrame,
+    sessions: DataFrame,
+    memories: DataFrame,
+    user_context: DataFrame,
+    as_of: Column,
+    *,
+    dim: int = 64,
+    encoder: Encoder | None = None,
+    scorer: PairScorer | None = None,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A whole table of questions to model inputs.
+
+    Returns the source rows, one model input per question with sources, and the
+    questions without any. A question about a document as a whole reads a slice
+    of it; every other question is searched. ``questions``: query_id, text,
+    user_id, session_id, top_k, candidate_k.
+    """
+    # Written once: each of these feeds several outputs.
+    of_documents = settled(whole_document_sources(questions, chunks, sessions))
+    searched = questions.join(of_documents.select("query_id").distinct(), "query_id", "left_anti")
+    sources = settled(
+        of_documents.unionByName(retrieve(searched, chunks, sessions, dim=dim, encoder=encoder, scorer=scorer))
+    )
+    found = recalled(questions, memories, as_of, dim=dim, encoder=encoder)
+    return sources, prompts(questions, sources, found, user_context), context.no_context(questions, sources)
+
+
 def profiles_to_refresh(
     memories: DataFrame, favorites: DataFrame, documents: DataFrame, sessions: DataFrame,
     profiles: DataFrame, as_of: Column,
