@@ -1,6 +1,6 @@
 """Importing this module registers the queries of the subpackage."""
 
-from corpusflow.llm import queries_mixing  # noqa: F401
+from corpusflow.llm import queries_mixing, queries_toxicity  # noqa: F401
 from corpusflow.llm.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
