@@ -48,8 +48,10 @@ FROM d LEFT JOIN a USING (rowid)
 @query("op10_secrets", _sql())
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     """Starts from an empty ledger, so every distinct text is scanned by every rule."""
-    docs = table(spark, folder, "documents").select("doc_id", "text")
-    ledger = shared_folder(spark, "secret-ledger")
+    return report(table(spark, folder, "documents"), shared_folder(spark, "secret-ledger"))
+
+
+def report(docs: DataFrame, ledger: str) -> DataFrame:
     secrets.scan(docs, ledger)
     found = secrets.findings(docs, ledger)
 

@@ -21,11 +21,15 @@ RULES = (
 @query("op2_url_filter")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     """The labelled table holds URLs that the rules decide; the model extends them to the others."""
-    pages = table(spark, folder, "pages").select("page_id", "url")
+    return judged(table(spark, folder, "pages"))
+
+
+def judged(pages: DataFrame) -> DataFrame:
+    pages = pages.select("page_id", "url")
     decided = url_filter.with_parts(pages, RULES).filter("__url_fit.verdict IS NOT NULL")
     labelled = decided.select("url", (F.col("__url_fit.verdict") == "block").cast("int").alias("block"))
-    judged = url_filter.judge(pages, RULES, url_filter.train(labelled))
-    return judged.select(
+    out = url_filter.judge(pages, RULES, url_filter.train(labelled))
+    return out.select(
         "page_id",
         *[F.col(f"__url_{c}").alias(c) for c in ("host", "path", "rule", "verdict", "score")],
     )

@@ -12,9 +12,13 @@ from corpusflow.llm.registry import query
 
 @query("op5_winnow")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return fingerprints(table(spark, folder, "documents"))
+
+
+def fingerprints(docs: DataFrame) -> DataFrame:
     own = (
-        docs.withColumn("tie", F.xxhash64("text"))
+        docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+        .withColumn("tie", F.xxhash64("text"))
         .withColumn("chosen", winnow.chosen(F.col("text")))
         .select("doc_id", "text", "tie", winnow.digest(F.col("chosen")).alias("fingerprint"),
                 winnow.run_hashes(F.col("chosen")).alias("runs"))

@@ -503,13 +503,11 @@ def repeats(
 
 def without(words: Column, spans: Column) -> Column:
     """The words outside the spans, joined by one blank."""
-    return F.array_join(
-        F.filter(
-            words,
-            lambda _, i: ~F.exists(
-                F.sequence(F.lit(0), F.floor(F.size(spans) / 2).cast("int")),
-                lambda k: (F.get(spans, 2 * k) <= i) & (i < F.get(spans, 2 * k + 1)),
-            ),
-        ),
-        " ",
-    )
+
+    def inside(i: Column) -> Column:
+        # Past the last span the bounds are null, which is outside.
+        pairs = F.sequence(F.lit(0), F.floor(F.size(spans) / 2).cast("int"))
+        held = F.exists(pairs, lambda k: (F.get(spans, 2 * k) <= i) & (i < F.get(spans, 2 * k + 1)))
+        return F.coalesce(held, F.lit(False))
+
+    return F.array_join(F.filter(words, lambda _, i: ~inside(i)), " ")
