@@ -11,6 +11,7 @@ whole encoding is tested.
 from __future__ import annotations
 
 import json
+import os
 import re
 import sys
 from array import array
@@ -24,6 +25,13 @@ UNUSUAL = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\
 LED = re.compile(r" ?[^ \n\t\r]+|[ \n\t\r]+(?![^ \n\t\r])|[ \n\t\r]+")
 
 
+# A plain word with what may follow it; the pre-tokenizers below always cut between the two.
+PLAIN = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+# How byte-level vocabularies spell bytes: printable ones as themselves, the others in order from 256 on.
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+SPELT = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTED)}
+
+
 def process_store(name: str) -> dict:
     """A dict that lives as long as this Python process, across tasks of one worker.
 
@@ -36,6 +44,8 @@ class Encoder:
     """Token ids of whole texts as the tokenizer gives them, without special tokens added."""
 
     def __init__(self, definition: str, digest: str) -> None:
+        # Tasks are the parallelism; threads inside one would wait for each other.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
@@ -45,10 +55,13 @@ class Encoder:
         rules = json.loads(definition)
         self.added = [t["content"] for t in rules.get("added_tokens") or []]
         plain = all(not (t.get("lstrip") or t.get("rstrip") or t.get("single_word")) for t in rules.get("added_tokens") or [])
+        self.tails: dict[str, bytes] = {}
+        self.lower = False
         self.cut = self._cut(rules) if plain else None
+        bare = rules.get("model", {}).get("type") == "BPE" and not rules["model"].get("dropout")
+        self.model = self.tokenizer.model if self.cut and bare else None
 
-    @staticmethod
-    def _cut(rules: dict):
+    def _cut(self, rules: dict):
         before, change = rules.get("pre_tokenizer") or {}, rules.get("normalizer") or {}
         byte_level = before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space")
         if byte_level and not change:
@@ -62,6 +75,7 @@ class Encoder:
             and parts[1].get("type") == "ByteLevel" and not parts[1].get("use_regex") and not parts[1].get("add_prefix_space")
         )
         if drops_blanks and steps == ["NFC", "Replace", "Lowercase"]:
+            self.lower = True
             return str.split
         return None
 
@@ -93,10 +107,35 @@ class Encoder:
             self.new.clear()
         known = [p for p in missing if p in self.old]
         self.new.update(zip(known, map(self.old.get, known), strict=True))
-        rest = [p for p in missing if p not in self.old]
+        rest = []
+        for part in missing:
+            if part in self.old:
+                continue
+            plain = PLAIN.fullmatch(part) if self.model else None
+            if plain:
+                self.new[part] = self._word(plain[1]) + (self._tail(plain[2]) if plain[2] else b"")
+            else:
+                rest.append(part)
         for part, ids in zip(rest, self.whole(rest), strict=True):
             self.new[part] = array("I", ids).tobytes()
 
+    def _word(self, word: str) -> bytes:
+        """Ids of a plain word straight from the merges, spelt as the pre-tokenizer would hand it over."""
+        known = self.new.get(word) or self.old.get(word)
+        if known:
+            return known
+        spelt = word.lower() if self.lower else word
+        if not spelt.isascii():
+            spelt = spelt.encode().decode("latin-1").translate(SPELT)
+        elif spelt[0] == " ":
+            spelt = chr(SPELT[32]) + spelt[1:]
+        return array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes()
+
+    def _tail(self, tail: str) -> bytes:
+        if tail not in self.tails:
+            self.tails[tail] = array("I", self.whole([tail])[0]).tobytes()
+        return self.tails[tail]
+
 
 def encoder(definition: str, digest: str) -> Encoder:
     """One encoder per process and tokenizer."""
