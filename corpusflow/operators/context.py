@@ -9,8 +9,8 @@ from corpusflow.functions import text as tx
 from corpusflow.operators.ordered import position_in_group
 
 # --- fixed values -----------------------------------------------------------
-AZ_ROOMS = "(?iu)(?<!yataq\\s)(\\d+)\\s*[-\\s]?\\s*otaq(?:lı|li)?(?=\\s|[^\\p{L}\\d]|$)"
-RU_ROOMS = "(?iu)(?<!спальня\\s)(\\d+)\\s*[-\\s]?\\s*комнатн(?:ая|ой|ую|ые|ых)?(?=\\s|[^\\p{L}\\d]|$)"
+AZ_ROOMS = f"(?iu)(?<!yataq[{tx.BLANK}])(\\d+)[{tx.BLANK}]*[-{tx.BLANK}]?[{tx.BLANK}]*otaq(?:lı|li)?(?=[^\\p{{L}}\\d]|$)"
+RU_ROOMS = f"(?iu)(?<!спальня[{tx.BLANK}])(\\d+)[{tx.BLANK}]*[-{tx.BLANK}]?[{tx.BLANK}]*комнатн(?:ая|ой|ую|ые|ых)?(?=[^\\p{{L}}\\d]|$)"
 DOC_VERB = (
     "(?i)\\b(analy[sz]e|summari[sz]e|review|brief|tl;?dr|overview|describe|extract|explain"
     "|tell me about|what(?: is|'s) (?:in|this))\\b"
@@ -130,9 +130,10 @@ def doc_chunks(chunks: DataFrame, sessions: DataFrame, requests: DataFrame) -> D
 
 
 def plain_number(col: Column) -> Column:
-    """Number as written in text: no trailing .0, no exponent for whole values."""
+    """Number as written in text: no trailing zeros, no exponent."""
     value = col.cast("double")
-    return F.when(value == F.floor(value), F.floor(value).cast("string")).otherwise(value.cast("string"))
+    written = F.regexp_replace(value.cast("decimal(38,12)").cast("string"), "0+$", "")
+    return F.when(value == F.floor(value), F.floor(value).cast("string")).otherwise(written)
 
 
 def format_facts(metadata: Column) -> Column:

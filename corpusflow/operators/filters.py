@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import partial, reduce
 from typing import Any
 
 import numpy as np
@@ -113,24 +113,41 @@ def filtered_pairs(
     ).select(*pairs.columns)
 
 
+def _holds(value: Column, wanted: Any) -> Column:
+    """JSON containment of ``wanted`` in a variant; false, never null, where the types differ."""
+    kind = F.schema_of_variant(value)
+    if isinstance(wanted, dict):
+        # Keys are looked up as they are, not read as paths.
+        fields = F.try_variant_get(value, "$", "map<string,variant>")
+        tests = [kind.startswith("OBJECT")]
+        tests += [_holds(F.try_element_at(fields, F.lit(name)), part) for name, part in wanted.items()]
+    elif isinstance(wanted, list):
+        items = F.try_variant_get(value, "$", "array<variant>")
+        tests = [kind.startswith("ARRAY")]
+        tests += [F.exists(items, partial(_holds_item, part)) for part in wanted]
+    elif wanted is None:
+        tests = [kind == "VOID"]
+    elif isinstance(wanted, bool):
+        tests = [kind == "BOOLEAN", F.try_variant_get(value, "$", "boolean") == F.lit(wanted)]
+    elif isinstance(wanted, (int, float)):
+        tests = [kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), F.try_variant_get(value, "$", "double") == F.lit(float(wanted))]
+    else:
+        tests = [kind == "STRING", F.try_variant_get(value, "$", "string") == F.lit(wanted)]
+    return F.coalesce(reduce(lambda a, b: a & b, tests), F.lit(False))
+
+
+def _holds_item(wanted: Any, item: Column) -> Column:
+    return _holds(item, wanted)
+
+
 def contains(df: DataFrame, wanted: dict[str, Any], column: str) -> DataFrame:
-    """JSON containment: every given top-level or nested field has that value."""
-    tests = []
+    """JSON containment: every given field, at any depth, is there with that value and JSON type.
 
-    def walk(prefix: str, part: dict[str, Any]) -> None:
-        for name, value in part.items():
-            path = f"{prefix}.{name}"
-            if isinstance(value, dict):
-                walk(path, value)
-            elif value is None:
-                tests.append(F.try_variant_get("__json", path, "string").isNull())
-            else:
-                kind = {bool: "boolean", int: "bigint", float: "double"}.get(type(value), "string")
-                tests.append(F.try_variant_get("__json", path, kind) == F.lit(value))
-
-    walk("$", wanted)
+    Lists are contained when each of their items is contained in some item; an
+    empty object is contained in every object; null matches a null that is there.
+    """
     parsed = df.withColumn("__json", F.try_parse_json(F.col(column)))
-    return parsed.filter(reduce(lambda a, b: a & b, tests)).drop("__json")
+    return parsed.filter(_holds(F.col("__json"), wanted)).drop("__json")
 
 
 class PairRules:

@@ -84,6 +84,11 @@ def attach_chunks(hits: DataFrame, chunks: DataFrame, columns: list[str], *, fit
     return join_checked(chunks.select("chunk_id", *columns), hits, "chunk_id", small_fits=fits)
 
 
+def _worded(queries: DataFrame) -> DataFrame:
+    """Queries with something to search for: a blank question finds nothing."""
+    return queries.filter(tx.trim_blank(F.col("text")) != "") if "text" in queries.columns else queries
+
+
 def vector_hits(queries: DataFrame, chunks: DataFrame, k: int | str, *, filters: bool = False, scope: bool = False) -> DataFrame:
     items = chunks.withColumnRenamed("chunk_id", "item_id")
     return vector.knn(queries, items, k, filters=filters, scope=scope)
@@ -106,6 +111,7 @@ def hybrid_search(
     ``queries``: query_id, text, embedding (and filters, user_id).
     ``chunks``: chunk_id, tokens, embedding and the payload ``columns``.
     """
+    queries = _worded(queries)
     near = vector_hits(queries, chunks, candidate_k, filters=filters, scope=scope)
     worded = lexical.lexical_search(queries, chunks, candidate_k, stats=stats, filters=filters, scope=scope)
     fused, limit = fuse(near, worded, rrf_k), candidate_k
@@ -137,6 +143,7 @@ def search(
     Each side runs once over the queries that want it; the mode only decides
     which score orders a query's rows.
     """
+    queries = _worded(queries)
     modes = queries.select("query_id", "mode")
     near = vector_hits(
         queries.filter(F.col("mode") != "lexical"), chunks, candidate_k, filters=filters, scope=scope

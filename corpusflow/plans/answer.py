@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpusflow.functions import text as tx
 from corpusflow.operators import context, fusion, memory, profile
 from corpusflow.operators.encode import Encoder, embed
 from corpusflow.operators.filters import with_owner
@@ -58,7 +59,9 @@ def whole_document_sources(questions: DataFrame, chunks: DataFrame, sessions: Da
     scored = rows.withColumns(
         {"rerank_score": F.lit(None).cast("double"), "vector_score": zero, "lexical_score": zero, "rrf_score": zero}
     )
-    return fusion.shape_sources(scored).withColumn("score", F.lit(1.0))
+    # These snippets are cut without a mark.
+    whole = F.substring(tx.squeeze(F.coalesce("content", F.lit(""))), 1, tx.SNIPPET_CHARS)
+    return fusion.shape_sources(scored).withColumn("score", F.lit(1.0)).withColumn("snippet", whole)
 
 
 def prompts(

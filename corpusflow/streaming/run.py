@@ -1,10 +1,14 @@
-"""Running a stream to the end of its input, with state in the shared folder."""
+"""Running a stream to the end of its input, with state in the shared folder.
+
+A stream takes ``spark.sql.shuffle.partitions`` of the session it is first started
+in and keeps that number in its checkpoint for life: set it for the size the
+stream shall grow to, not for the cluster it starts on.
+"""
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,23 +22,6 @@ def use_state_store(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
-@contextmanager
-def state_partitions(spark: SparkSession) -> Iterator[None]:
-    """State in about two partitions per core, for the query started inside.
-
-    Stateful shuffles are not merged at run time, so the default number would
-    leave a small cluster with many nearly empty stores. A stream keeps the
-    number it started with in its checkpoint.
-    """
-    key = "spark.sql.shuffle.partitions"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(min(int(before), 2 * spark.sparkContext.defaultParallelism)))
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
-
-
 def fresh_dir(spark: SparkSession, name: str) -> str:
     return f"{work_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
@@ -43,15 +30,14 @@ def run_to_table(stream: DataFrame, name: str, *, mode: str = "append") -> DataF
     """Processes all available input into parquet and returns it as a table."""
     spark = stream.sparkSession
     root = fresh_dir(spark, name)
-    with state_partitions(spark):
-        query = (
-            stream.writeStream.format("parquet")
-            .outputMode(mode)
-            .option("path", f"{root}/data")
-            .option("checkpointLocation", f"{root}/state")
-            .trigger(availableNow=True)
-            .start()
-        )
+    query = (
+        stream.writeStream.format("parquet")
+        .outputMode(mode)
+        .option("path", f"{root}/data")
+        .option("checkpointLocation", f"{root}/state")
+        .trigger(availableNow=True)
+        .start()
+    )
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{root}/data")
 
@@ -59,11 +45,10 @@ def run_to_table(stream: DataFrame, name: str, *, mode: str = "append") -> DataF
 def run_batches(stream: DataFrame, name: str, each: Callable[[DataFrame, int], None], state: str | None = None) -> None:
     """Processes all available input with ``each`` once per micro-batch."""
     spark = stream.sparkSession
-    with state_partitions(spark):
-        query = (
-            stream.writeStream.foreachBatch(each)
-            .option("checkpointLocation", state or f"{fresh_dir(spark, name)}/state")
-            .trigger(availableNow=True)
-            .start()
-        )
+    query = (
+        stream.writeStream.foreachBatch(each)
+        .option("checkpointLocation", state or f"{fresh_dir(spark, name)}/state")
+        .trigger(availableNow=True)
+        .start()
+    )
     query.awaitTermination()

@@ -125,3 +125,10 @@ def test_fragments_join_in_order(spark):
     )
     got = {r.page: r.text for r in corpus.assemble_pages(fragments).collect()}
     assert got == {1: "hello world", 2: ""}
+
+
+@pytest.mark.parametrize("blank", [" ", " "])
+def test_the_lead_starts_after_a_sentence_whatever_the_blank(one, blank):
+    from corpusflow.operators.chunking import AFTER_BREAK
+
+    assert one(lambda c: F.regexp_extract(c, AFTER_BREAK, 1), f"tail one.{blank}Next sentence") == "Next sentence"

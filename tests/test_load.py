@@ -152,3 +152,32 @@ def test_page_without_title_uses_its_first_heading(spark):
     a, b = corpus_source.pages_to_corpus(pages).orderBy("url").collect()
     assert (a.title, a.markdown, a.doc_type, a.language) == ("A & B", "# One\n\nText\nmore", "listing", "en")
     assert (b.title, b.markdown, b.doc_type, b.language) == ("Only heading", "# Only heading\n\n- x", "article", "ru")
+
+
+def test_a_load_without_a_stored_column_keeps_it(spark, tmp_path):
+    path = str(tmp_path / "store")
+    stored = spark.createDataFrame(
+        [(f"doc{i}", 0, f"h{i}", T1, "s1" if i % 2 else None, i) for i in range(20)],
+        "doc_id string, chunk_index int, content_hash string, created_at timestamp, session_id string, page int",
+    )
+    tables.write_chunks(stored, path, buckets=2)
+    # The new rows have no session_id and no page, but a column of their own.
+    new = chunk_rows(spark, [("doc1", 0, "new"), ("doc2", 0, "new"), ("doc99", 0, "new")]).withColumn("lang", F.lit("en"))
+    loaded = new.select("doc_id", "chunk_index")
+    tables.merge_chunks(spark, path, new, loaded, buckets=2)
+    got = {r.doc_id: r for r in spark.read.option("mergeSchema", "true").parquet(path).collect()}
+    assert len(got) == 21
+    for i in range(20):
+        row = got[f"doc{i}"]
+        assert (row.session_id, row.page) == ("s1" if i % 2 else None, i)
+        assert row.content_hash == ("new" if i in (1, 2) else f"h{i}")
+    assert got["doc99"].session_id is None and got["doc99"].lang == "en" and got["doc5"].lang is None
+
+
+def test_a_merge_that_drops_a_stored_column_is_refused(spark, tmp_path):
+    path = str(tmp_path / "store")
+    rows = chunk_rows(spark, [("a", 0, "x")])
+    tables.write_chunks(rows, path, buckets=2)
+    with pytest.raises(ValueError, match="content_hash"):
+        tables.merge_table(spark, path, rows, lambda df: df.drop("content_hash"), rows.schema, buckets=2)
+    assert tables.read_chunks(spark, path).count() == 1

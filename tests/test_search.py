@@ -121,3 +121,41 @@ def test_prompt_leaves_out_empty_blocks(spark):
     profiles = spark.createDataFrame([("u", "")], "user_id string, profile_block string")
     got = {r.query_id: r.prompt for r in context.build_prompts(queries, sources, memories, profiles).collect()}
     assert got == {1: "M\nQuestion: Why?\nSources:\nS", 2: "Question: How?\nSources:\nT"}
+
+
+@pytest.mark.parametrize("blank", [" ", " "])
+def test_room_counts_with_other_blanks_are_rewritten(spark, blank):
+    plain, other = (
+        context.rewrite_rooms(spark.createDataFrame([(0, f"3{b}otaqlı mənzil")], "query_id int, text string")).first()["rewritten"]
+        for b in (" ", blank)
+    )
+    assert plain == other != f"3{blank}otaqlı mənzil"
+
+
+@pytest.mark.parametrize(
+    ("wanted", "ids"),
+    [
+        ({"a": None}, [2]), ({"a": 5}, [0, 5]), ({"a": "5"}, [1]), ({"a": True}, [3]), ({}, [0, 1, 2, 3, 4, 5, 6, 7]),
+        ({"b": {"c": 1}}, [4]), ({"l": [2]}, [6]), ({"l": [{"x": 1}]}, [6]), ({"l": [3, 2]}, []), ({"l": []}, [6]),
+        ({"k.e'y": "v"}, [7]), ({"b": {}}, [4]),
+    ],
+)
+def test_json_containment(spark, wanted, ids):
+    texts = ['{"a": 5}', '{"a": "5"}', '{"a": null}', '{"a": true}', '{"b": {"c": 1, "d": 2}}', '{"a": 5.0, "z": 1}',
+             '{"l": [1, 2, {"x": 1, "y": 2}]}', '{"k.e\'y": "v"}', "[1]", "oops", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, meta string")
+    assert sorted(r.id for r in filters.contains(rows, wanted, "meta").collect()) == ids
+
+
+def test_blank_questions_find_nothing(spark):
+    chunks = spark.createDataFrame([(1, ["a"], [1.0, 0.0]), (2, ["b"], [0.0, 1.0])], "chunk_id long, tokens array<string>, embedding array<double>")
+    asked = spark.createDataFrame(
+        [(1, "  \n", [1.0, 0.0]), (2, "a", [1.0, 0.0])], "query_id long, text string, embedding array<double>"
+    )
+    assert {r.query_id for r in fusion.hybrid_search(asked, chunks, 3).collect()} == {2}
+
+
+@pytest.mark.parametrize(("value", "text"), [(12345678.5, "12345678.5"), (5.0, "5"), (0.25, "0.25"), (1e15, "1000000000000000"), (None, None)])
+def test_plain_numbers(spark, value, text):
+    df = spark.createDataFrame([(value,)], "v double")
+    assert df.select(context.plain_number(F.col("v")).alias("t")).first()["t"] == text

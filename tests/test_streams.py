@@ -118,3 +118,15 @@ def test_shared_folder_comes_from_the_session(spark):
     assert work_dir(spark) == spark.conf.get("spark.checkpoint.dir")
     df = settled(spark.range(3).withColumn("x", F.lit(1)))
     assert df.count() == 3 and work_dir(spark) in spark.sparkContext.getCheckpointDir()
+
+
+def test_a_batch_body_sees_the_shuffle_partitions_of_the_session(spark, tmp_path):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    seen = []
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        df = stream(spark, str(tmp_path / "in"), [[(1,)]], "a int")
+        run.run_batches(df, "body", lambda batch, _: seen.append(batch.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert seen == ["64"]

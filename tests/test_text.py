@@ -98,3 +98,11 @@ def test_doc_id_has_sixteen_hex_digits(one):
 
     url = "https://example.com/a"
     assert one(keys.doc_id, url) == hashlib.sha1(url.encode()).hexdigest()[:16]
+
+
+@pytest.mark.parametrize("blank", [" ", " ", " "])
+def test_facts_allow_every_blank(one, blank):
+    assert one(facts.price, f"450{blank}000{blank}₼")["price"] == 450000.0
+    assert one(facts.price, f"${blank}450,000")["price"] == 450000.0
+    assert one(facts.bedrooms, f"3{blank}bedroom flat") == 3
+    assert one(facts.area_sqm, f"120{blank}m²") == 120.0
