@@ -163,3 +163,30 @@ def load_in_place(spark, d):
     )
     tables.merge_chunks(spark, path, second.changed_chunks, second.loaded, buckets=32)
     return flat(tables.read_chunks(spark, path).select("doc_id", "chunk_index", "content_hash"))
+
+
+@query(
+    "U4_merge_keeps_scope",
+    ctes("""
+  SELECT doc_id, 0::BIGINT AS chunk_index,
+         CASE WHEN doc_no % 3 = 1 THEN sha256('new ' || url) ELSE sha256(url) END AS content_hash,
+         CASE WHEN doc_no % 2 = 0 THEN 's' || (doc_no % 7) END AS session_id
+  FROM corpus
+  UNION ALL
+  SELECT 'added-' || doc_id, 0::BIGINT, sha256('new ' || url), NULL FROM corpus WHERE doc_no % 5 = 0"""),
+)
+def merge_keeps_scope(spark, d):
+    """Uploads and public documents share buckets; a load without owners leaves every owner as it was."""
+    path = fresh_dir(spark, "scoped")
+    docs = derive.corpus(spark, d)
+    session = F.when(F.col("doc_no") % 2 == 0, F.concat(F.lit("s"), (F.col("doc_no") % 7).cast("string")))
+    rows = docs.select(
+        "doc_id", F.lit(0).alias("chunk_index"), F.sha2("url", 256).alias("content_hash"), session.alias("session_id")
+    )
+    tables.write_chunks(rows, path, buckets=16)
+    fresh = F.sha2(F.concat(F.lit("new "), F.col("url")), 256).alias("content_hash")
+    changed = docs.filter("doc_no % 3 = 1").select("doc_id", F.lit(0).alias("chunk_index"), fresh)
+    added = docs.filter("doc_no % 5 = 0").select(F.concat(F.lit("added-"), "doc_id").alias("doc_id"), F.lit(0).alias("chunk_index"), fresh)
+    new = changed.unionByName(added)
+    tables.merge_chunks(spark, path, new, new.select("doc_id", "chunk_index"), buckets=16)
+    return flat(tables.read_chunks(spark, path).select("doc_id", "chunk_index", "content_hash", "session_id"))

@@ -9,6 +9,7 @@ from checks.registry import flat, query
 from checks.retrieval import _vector_tables
 from checks.sqlkit import CTES, ctes, seconds, similarity
 from corpusflow.operators import encode, evaluation, fusion, lexical, memory, usage, vector
+from corpusflow.session import fits_broadcast
 from corpusflow.sources import tables
 from corpusflow.streaming.run import fresh_dir
 
@@ -144,7 +145,8 @@ def _eval_hits(spark, d):
     near = fusion.vector_hits(asked, chunks, 8).select(
         "query_id", F.col("item_id").alias("chunk_id"), F.col("rank").alias("position")
     )
-    return fusion.attach_chunks(near, chunks, ["content"], fits=True).withColumn("id", F.col("query_id").cast("string"))
+    fits = fits_broadcast(asked, rows_each=8)
+    return fusion.attach_chunks(near, chunks, ["content"], fits=fits).withColumn("id", F.col("query_id").cast("string"))
 
 
 def _answers(spark, d):
@@ -267,7 +269,8 @@ def compare_modes(spark, d):
     keyword = questions.select("query_id", F.get("must_match", F.lit(0)).alias("text")).filter("text IS NOT NULL")
     chunks = lexical.with_tokens(derive.paragraph_chunks(spark, d))
     worded = lexical.lexical_search(keyword, chunks, 8)
-    hits = fusion.attach_chunks(worded, chunks, ["content"], fits=True).withColumn("id", F.col("query_id").cast("string"))
+    fits = fits_broadcast(keyword, rows_each=8)
+    hits = fusion.attach_chunks(worded, chunks, ["content"], fits=fits).withColumn("id", F.col("query_id").cast("string"))
     return evaluation.compare_modes(
         {
             "vector": evaluation.retrieval_recall(questions, _eval_hits(spark, d)),
