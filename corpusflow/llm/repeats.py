@@ -34,7 +34,7 @@ results whatever their id, null ids included. Other columns are not looked at.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -53,6 +53,7 @@ _SPREAD = np.uint64(0xD6E8FEB86659FD93)
 NOWHERE = np.uint32(0xFFFFFFFF)
 ANCHORS = np.dtype([("code", "<u8"), ("own", "<u4")])
 SUFFIXES = np.dtype([("code", "<u8"), ("more", "<u4"), ("own", "<u4"), ("at", "<u4")])
+PLACES = np.dtype([("own", "<u4"), ("at", "<u4")])
 PACKED = "kind int, part int, key binary, keys binary, body binary, n_words long, n_removed long, kept_sha256 string, spans array<int>"
 
 
@@ -360,7 +361,7 @@ def _result(data: bytes, spans: np.ndarray) -> tuple[int, int, str]:
 
 
 def _suffixes(contents: DataFrame, window: int, groups: int, frequent: list[np.ndarray]) -> DataFrame:
-    """Rows of three kinds: 0 finished texts, 2 texts that wait (and places already known), 1 suffixes by group."""
+    """Rows of four kinds: 0 finished texts, 1 suffixes by group, 2 texts that wait, 3 places already known."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
@@ -391,10 +392,10 @@ def _suffixes(contents: DataFrame, window: int, groups: int, frequent: list[np.n
                     wait.append((key, packed))
             if done:
                 k, n, r, s, spans = zip(*done, strict=True)
-                yield _rows(kind=[0] * len(k), part=[0] * len(k), key=k, n_words=n, n_removed=r, kept_sha256=s, spans=spans)
+                yield _rows(kind=[0] * len(k), part=home_of(k, groups), key=k, n_words=n, n_removed=r, kept_sha256=s, spans=spans)
             if wait:
                 k, packed = zip(*wait, strict=True)
-                yield _rows(kind=[2] * len(k), part=[0] * len(k), key=k, body=packed)
+                yield _rows(kind=[2] * len(k), part=home_of(k, groups), key=k, body=packed)
             if not found:
                 continue
             entries, part = np.concatenate(found), np.concatenate(parts)
@@ -402,7 +403,7 @@ def _suffixes(contents: DataFrame, window: int, groups: int, frequent: list[np.n
             entries, part = entries[order], part[order]
             new = np.concatenate([[True], (entries["code"][1:] != entries["code"][:-1]) | (entries["more"][1:] != entries["more"][:-1])])
             inside = ~(new & np.concatenate([new[1:], [True]]))
-            yield from _places(entries[inside], keys)
+            yield from _places(entries[inside], keys, groups)
             entries, part = entries.copy()[new], part[new]
             entries["at"][inside[new]] = NOWHERE
             rows = list(_packed(entries, part, keys))
@@ -412,28 +413,74 @@ def _suffixes(contents: DataFrame, window: int, groups: int, frequent: list[np.n
     return contents.mapInArrow(run, PACKED)
 
 
-def _places(entries: np.ndarray, keys: list[bytes]) -> Iterator[pa.RecordBatch]:
-    """Repeated windows by text, as kind 2 rows with the places in ``keys``."""
+def home_of(keys: Sequence[bytes], groups: int) -> np.ndarray:
+    """Where what is known of a text meets; keys are digests, so any of their bytes are spread."""
+    return (np.frombuffer(b"".join(k[:8] for k in keys), "<u8") % np.uint64(groups)).astype(np.int32)
+
+
+def _places(entries: np.ndarray, keys: list[bytes], groups: int) -> Iterator[pa.RecordBatch]:
+    """Repeated windows by the home of their text, as kind 3 rows."""
     entries = entries[entries["at"] != NOWHERE]
     if not len(entries):
         return
-    entries = entries[np.argsort(entries["own"], kind="stable")]
-    rows = list(_split(entries, entries["own"].astype(np.int64)))
-    yield _rows(kind=[2] * len(rows), part=[0] * len(rows), key=[keys[k] for k, _ in rows],
-                keys=[np.ascontiguousarray(e["at"]).tobytes() for _, e in rows])
+    found = np.empty(len(entries), PLACES)
+    found["own"], found["at"] = entries["own"], entries["at"]
+    rows = list(_packed(found, home_of(keys, groups)[found["own"]], keys))
+    yield _rows(kind=[3] * len(rows), part=[p for p, _, _ in rows], keys=[k for _, k, _ in rows],
+                body=[b for _, _, b in rows])
+
+
+def _subtrees(groups: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sorted by signature, a group is its subtrees' leaves in order; equal neighbours are a node at full depth."""
+        for kind, held in _grouped(batches):
+            if kind != 1:
+                yield from held.to_batches()
+                continue
+            keys, entries = _unpacked(held, SUFFIXES)
+            entries = entries[np.lexsort((entries["more"], entries["code"]))]
+            same = np.zeros(len(entries) + 1, bool)
+            same[1:-1] = (entries["code"][1:] == entries["code"][:-1]) & (entries["more"][1:] == entries["more"][:-1])
+            yield from _places(entries[same[1:] | same[:-1]], keys, groups)
+
+    return run
+
+
+def _finish(window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows by home, places before the texts they speak of."""
+        unpack = zstandard.ZstdDecompressor()
+        home, packed, places = None, [], {}
+        for batch in batches:
+            out = []
+            for row in zip(*(batch.column(c).to_pylist() for c in ("part", "kind", "key", "keys", "body")), range(batch.num_rows), strict=True):
+                part, kind, key, keys, body, at = row
+                if part != home:
+                    home, packed, places = part, [], {}
+                if kind == 3:
+                    packed.append({"keys": keys, "body": body})
+                elif kind == 2:
+                    if packed:
+                        places, packed = _by_text(packed), []
+                    spans = cover(places.get(key, np.zeros(0, np.int64)), window)
+                    out.append((key, *_result(unpack.decompress(body), spans), spans))
+                else:
+                    out.append((key, *(batch.column(c)[at].as_py() for c in ("n_words", "n_removed", "kept_sha256", "spans"))))
+            k, n, r, digest, spans = zip(*out, strict=True) if out else ((),) * 5
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(k, pa.binary()), pa.array(n, pa.int64()), pa.array(r, pa.int64()), pa.array(digest, pa.string()),
+                 pa.array(spans, pa.list_(pa.int32()))],
+                names=["key", "n_words", "n_removed", "kept_sha256", "spans"],
+            )
+
+    return run
 
 
-def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted by signature, a group is its subtrees' leaves in order; equal neighbours are a node at full depth."""
-    for kind, held in _grouped(batches):
-        if kind != 1:
-            yield from held.to_batches()
-            continue
-        keys, entries = _unpacked(held, SUFFIXES)
-        entries = entries[np.lexsort((entries["more"], entries["code"]))]
-        same = np.zeros(len(entries) + 1, bool)
-        same[1:-1] = (entries["code"][1:] == entries["code"][:-1]) & (entries["more"][1:] == entries["more"][:-1])
-        yield from _places(entries[same[1:] | same[:-1]], keys)
+def _by_text(packed: list[dict]) -> dict[bytes, np.ndarray]:
+    """Sorted distinct places of each text."""
+    keys, entries = _unpacked(pa.Table.from_pylist(packed), PLACES)
+    entries = entries[np.lexsort((entries["at"], entries["own"]))]
+    return {keys[own]: np.unique(e["at"]).astype(np.int64) for own, e in _split(entries, entries["own"].astype(np.int64))}
 
 
 def repeats(
@@ -460,42 +507,15 @@ def repeats(
         .groupBy("key").agg(F.first("packed").alias("packed"), F.count(F.lit(1)).alias("copies"))
         .join(_repeated_anchors(docs, window, groups), "key", "left")
     )
-    sent = _suffixes(contents, window, groups, frequent)
-    dealt = F.when(F.col("kind") == 1, F.col("part")).otherwise(F.pmod(F.xxhash64("key"), F.lit(groups)).cast("int"))
+    count = partitions(spark)
     met = (
-        sent.withColumn("part", dealt)
-        .repartition(partitions(spark), "part").sortWithinPartitions("kind", "part")
-        .mapInArrow(_subtrees, PACKED)
-    )
-    gathered = met.groupBy("key").agg(
-        F.first("n_words", True).alias("n_words"),
-        F.first("n_removed", True).alias("n_removed"),
-        F.first("kept_sha256", True).alias("kept_sha256"),
-        F.first("spans", True).alias("spans"),
-        F.first("body", True).alias("packed"),
-        F.collect_list("keys").alias("places"),
+        _suffixes(contents, window, groups, frequent)
+        .repartition(count, "part").sortWithinPartitions("kind", "part")
+        .mapInArrow(_subtrees(groups), PACKED)
     )
-
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor()
-        for batch in batches:
-            out = []
-            for row in batch.to_pylist():
-                if row["n_words"] is None:
-                    at = np.unique(np.frombuffer(b"".join(row["places"]), "<u4")).astype(np.int64)
-                    spans = cover(at, window)
-                    out.append((row["key"], *_result(unpack.decompress(row["packed"]), spans), spans.tolist()))
-                else:
-                    out.append(tuple(row[c] for c in ("key", "n_words", "n_removed", "kept_sha256", "spans")))
-            k, n, r, s, spans = zip(*out, strict=True) if out else ((),) * 5
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(k, pa.binary()), pa.array(n, pa.int64()), pa.array(r, pa.int64()), pa.array(s, pa.string()),
-                 pa.array(spans, pa.list_(pa.int32()))],
-                names=["key", "n_words", "n_removed", "kept_sha256", "spans"],
-            )
-
-    judged = gathered.mapInArrow(
-        finish, "key binary, n_words long, n_removed long, kept_sha256 string, spans array<int>"
+    judged = (
+        met.repartition(count, "part").sortWithinPartitions("part", F.col("kind").desc())
+        .mapInArrow(_finish(window), "key binary, n_words long, n_removed long, kept_sha256 string, spans array<int>")
     )
     named = docs.select("doc_id", F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("key"))
     return named.join(judged, "key").select("doc_id", "n_words", "n_removed", "kept_sha256", "spans")
