@@ -8,14 +8,16 @@ registers side by side fill one 64-bit band value; documents that share a band
 value are candidates.
 
 1. Equal sets are collapsed first, so thousands of copies are one node.
-2. Every node is compared with one hub per band value (drawn anew for every
-   band), of these with the one it shares most bands with. The similarity is
-   estimated from all registers by maximum likelihood, and links that are not
-   hopeless are confirmed on the full sets. Stars, not pairs, so a group of n
-   near copies costs n comparisons.
-3. The components of these links leave few band values with nodes of different
-   components. All their pairs across components are compared as well, so
-   no link between candidates is lost.
+2. Every band value draws a hub, and every node is compared with the hub it
+   shares most band values with. The similarity is estimated from all registers
+   by maximum likelihood, and links that are not hopeless are confirmed on the
+   full sets. Stars, not pairs, so a group of n near copies costs n comparisons.
+   A few turns with new hubs follow among band values that still hold different
+   components.
+3. What is left are nodes that may be alike but have no link so far. All their
+   pairs across components that share a band value are compared, so no link
+   between candidates is lost: as rows, each pair once, where few nodes share the
+   value, else block by block inside the tasks.
 
 At the similarity of 0.8 a linked pair shares a band with probability
 1 - (1 - 0.8^4)^32, about 1 - 5e-8; the likelihood filter lies more than five
@@ -46,6 +48,12 @@ from corpusflow.session import fits_broadcast, join_checked, settled
 
 BANDS, ROWS = 32, 4
 BASE, RATE, TOP = 1.001, 20.0, 65_534
+#: Turns of stars, and hubs per node and turn, before the remaining pairs are compared.
+TURNS, HUBS = 2, 2
+#: Nodes of one band value up to which the remaining pairs are compared as rows.
+FEW = 256
+#: Nodes of one block beyond that: a node's set travels once per block of its band value.
+BLOCK = 2048
 #: Estimates this far below the threshold are hopeless: over five standard deviations of 128 registers.
 MARGIN = 0.2
 _DRAW = np.random.default_rng(8_128).integers(0, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64)
@@ -162,8 +170,8 @@ def _likely(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     )
 
 
-def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Pairs whose full sets reach the threshold."""
+def _full_sets(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """The whole shingle sets of the wanted nodes, from the texts of their representatives."""
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -172,14 +180,17 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int,
                 {"node": batch.column("node"), "s": pa.array(sets, pa.list_(pa.int64()))}
             )
 
-    wanted = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
     ids = settled(wanted.join(nodes.select("node", "rep"), "node").select("node", "rep.doc_id", "rep.text_hash"))
     asked = F.broadcast(ids) if fits_broadcast(ids) else ids
     # Repeated rows of a representative give equal sets; one of them is kept.
-    sets = settled(
+    return settled(
         _texts(docs).join(asked, ["doc_id", "text_hash"]).select("node", "text")
         .mapInArrow(sets_of, "node binary, s array<long>").dropDuplicates(["node"])
     )
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose full sets reach the threshold."""
     both = pairs.join(sets.select(F.col("node").alias("u"), F.col("s").alias("a")), "u").join(
         sets.select(F.col("node").alias("v"), F.col("s").alias("b")), "v"
     )
@@ -191,6 +202,77 @@ def _ordered(one: str, two: str) -> list:
     return [F.greatest(one, two).alias("u"), F.least(one, two).alias("v")]
 
 
+def _mixed(held: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Members with their components' labels, of the band values that hold different components."""
+    if labels is None:
+        return held.withColumn("label", F.col("node"))
+    named = labels.select(F.col("u").alias("node"), F.col("v").alias("l"))
+    placed = held.join(named, "node", "left").select("band", "value", "n", "node", F.coalesce("l", "node").alias("label"))
+    ends = placed.groupBy("band", "value").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+    return placed.join(ends.filter("lo <> hi").select("band", "value"), ["band", "value"])
+
+
+def _stars(members: DataFrame, turn: int) -> DataFrame:
+    """Each node with the hubs, of other components, that it shares most band values with."""
+    draw = F.struct(F.xxhash64("node", "band", F.lit(turn)).alias("h"), "node", "label")
+    hubs = members.groupBy("band", "value").agg(F.min(draw).alias("hub"))
+    votes = (
+        members.join(hubs, ["band", "value"])
+        .filter(F.col("label") != F.col("hub.label"))
+        .groupBy("node", F.col("hub.node").alias("hub"))
+        .agg(F.count(F.lit(1)).alias("votes"))
+    )
+    # One draw per band, so a node has at most BANDS hubs to choose from.
+    ranked = votes.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("votes", "hub")), False).alias("all"))
+    best = ranked.select("node", F.explode(F.slice("all", 1, HUBS)["hub"]).alias("hub"))
+    return best.select(*_ordered("node", "hub")).distinct()
+
+
+def _by_blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between components inside band values with very many nodes.
+
+    Nodes are dealt to blocks of about ``BLOCK``; every two blocks of a band value meet
+    in one task, which counts all shared shingles by matrix products and returns
+    one link per pair of components at most. All pairs are compared exactly, but
+    no row is made for a pair.
+    """
+
+    def meet(rows: pd.DataFrame) -> pd.DataFrame:
+        sizes = rows["s"].map(len).to_numpy()
+        flat = np.concatenate([np.asarray(x, np.int64) for x in rows["s"]])
+        kinds, code = np.unique(flat, return_inverse=True)
+        row = np.repeat(np.arange(len(rows)), sizes)
+        often = np.bincount(code, minlength=len(kinds)) > 1  # a shingle of one node is shared with none
+        place = np.cumsum(often) - 1
+        held = often[code]
+        row, code = row[held], place[code[held]]
+        left = (rows["own"] == rows["lo"]).to_numpy()
+        right = (rows["own"] == rows["hi"]).to_numpy()
+        shared = np.zeros((left.sum(), right.sum()), np.float32)
+        for first in range(0, int(often.sum()), 2048):
+            part = np.zeros((len(rows), 2048), np.float32)
+            here = (code >= first) & (code < first + 2048)
+            part[row[here], code[here] - first] = 1
+            shared += part[left] @ part[right].T
+        every = sizes[left][:, None] + sizes[right][None, :] - shared
+        _, label = np.unique(rows["label"].to_numpy(), return_inverse=True)
+        a, b = np.nonzero((100 * shared >= percent * every) & (label[left][:, None] != label[right][None, :]))
+        one, two = label[left][a].astype(np.int64), label[right][b].astype(np.int64)
+        _, first = np.unique(np.minimum(one, two) * (label.max() + 1) + np.maximum(one, two), return_index=True)
+        node = rows["node"].to_numpy()
+        u, v = node[left][a[first]], node[right][b[first]]
+        return pd.DataFrame({"u": np.maximum(u, v), "v": np.minimum(u, v)}, dtype=object)
+
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")).cast("int")
+    dealt = (
+        members.withColumn("blocks", blocks).withColumn("own", own)
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("band", "value", "node", "label", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+    )
+    return dealt.join(sets, "node").groupBy("band", "value", "lo", "hi").applyInPandas(meet, "u binary, v binary")
+
+
 def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80) -> DataFrame:
     """One row per document row: doc_id, n_shingles, component_id, kept, text_hash.
 
@@ -209,36 +291,36 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80) -> Da
         )
     )
     members = nodes.select("node", F.posexplode("bands").alias("band", "value"))
-    hubs = (
-        members.groupBy("band", "value")
-        .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("node", "band").alias("h"), "node")).alias("hub"))
-        .filter("n > 1")
-        .select("band", "value", F.col("hub.node").alias("hub"))
+    shared = members.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    held = settled(members.join(shared, ["band", "value"]))
+    sets = _full_sets(held.select("node").distinct(), nodes, docs, words)
+
+    links, labels = None, None
+    for turn in range(TURNS):
+        stars = _stars(_mixed(held, labels), turn)
+        new = settled(_confirmed(_likely(stars, nodes, least), sets, percent))
+        links = new if links is None else links.unionAll(new)
+        labels = components(links)
+
+    rest = settled(
+        _mixed(held, labels).join(nodes.select("node", "bands", "n_shingles"), "node")
+        # A pair meets in its first shared band only: none of the bands before agrees.
+        .select("band", "value", "n", "node", "label", "n_shingles", F.slice("bands", F.lit(1), F.col("band")).alias("earlier"))
     )
-    held = settled(members.join(hubs, ["band", "value"]))
-
-    votes = held.filter("node <> hub").groupBy("node", "hub").agg(F.count(F.lit(1)).alias("votes"))
-    best = votes.groupBy("node").agg(F.max(F.struct("votes", "hub"))["hub"].alias("hub"))
-    stars = settled(best.select(*_ordered("node", "hub")).distinct())
-    links = settled(_confirmed(settled(_likely(stars, nodes, least)), nodes, docs, words, percent))
-    labels = components(links)
-
-    placed = held.join(labels.select(F.col("u").alias("node"), F.col("v").alias("l")), "node", "left").select(
-        "band", "value", "node", F.coalesce("l", "node").alias("label")
-    )
-    mixed = (
-        placed.groupBy("band", "value").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
-        .filter("lo <> hi").select("band", "value")
-    )
-    rest = settled(placed.join(mixed, ["band", "value"]))
+    agree = F.exists(F.zip_with("x.earlier", "y.earlier", lambda a, b: a == b), lambda same: same)
+    few = rest.filter(F.col("n") <= FEW)
     across = (
-        rest.alias("x").join(rest.alias("y"), ["band", "value"])
-        .filter("x.label < y.label")
+        few.alias("x").join(
+            few.alias("y"),
+            (F.col("x.band") == F.col("y.band")) & (F.col("x.value") == F.col("y.value"))
+            & (F.col("x.label") < F.col("y.label"))
+            & (100 * F.least("x.n_shingles", "y.n_shingles") >= percent * F.greatest("x.n_shingles", "y.n_shingles"))
+            & ~agree,
+        )
         .select(*_ordered("x.node", "y.node"))
-        .distinct()
-        .join(stars, ["u", "v"], "left_anti")
     )
-    more = settled(_confirmed(settled(_likely(across, nodes, least)), nodes, docs, words, percent))
+    one_by_one = _confirmed(_likely(across, nodes, least), sets, percent)
+    more = settled(one_by_one.unionAll(_by_blocks(rest.filter(F.col("n") > FEW), sets, percent)))
     if not more.isEmpty():
         labels = components(links.unionAll(more))
 

@@ -89,6 +89,19 @@ def test_a_large_group_of_near_copies_is_one(spark):
     assert all(got[k] == 0 for k in range(250)) and all(got[1000 + k] == 1000 + k for k in range(30))
 
 
+def test_unlinked_look_alikes_are_compared_in_rows_and_in_blocks(spark, monkeypatch):
+    rng = random.Random(9)
+    rows = []
+    for group in range(3):
+        base = prose(rng, 80, 5000)
+        rows += [(group * 1000 + k, near(rng, base, rng.randint(2, 9)), None, None, None, 0, "", "", "") for k in range(60)]
+    rng.shuffle(rows)
+    check(spark, rows, 2)
+    monkeypatch.setattr(nd, "FEW", 10)
+    monkeypatch.setattr(nd, "BLOCK", 15)
+    check(spark, rows, 2)
+
+
 def test_one_of_each_group_stays(spark):
     rows = awkward(random.Random(4))
     df = table(spark, rows)
