@@ -77,28 +77,27 @@ def fitting(host_: Column, path_: Column, rules: Sequence[Rule]) -> Column:
     return F.struct(best["rule"].alias("rule"), best["verdict"].alias("verdict"))
 
 
-def _grams(text: Column, space: str, dimensions: int) -> list[Column]:
-    chars = F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
+def _grams(text: Column, space: str, dimensions: int) -> Column:
     none = F.array().cast("array<int>")
-    return [
-        F.when(
-            F.size(chars) >= n,
-            F.transform(
-                F.sequence(F.lit(1), F.greatest(F.size(chars) - (n - 1), F.lit(1))),
-                lambda i, n=n: F.pmod(
-                    F.xxhash64(F.lit(space), F.array_join(F.slice(chars, i, n), "")), F.lit(dimensions)
-                ).cast("int"),
-            ),
-        ).otherwise(none)
-        for n in GRAMS
-    ]
+
+    def of(chars: Column, n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(chars) - (n - 1), F.lit(1)))
+        hashed = F.transform(
+            starts,
+            lambda i: F.pmod(F.xxhash64(F.lit(space), F.array_join(F.slice(chars, i, n), "")), F.lit(dimensions)).cast("int"),
+        )
+        return F.when(F.size(chars) >= n, hashed).otherwise(none)
+
+    # The characters are the one element of an array, so that they are cut once and not once per gram.
+    cut = F.array(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)))
+    return F.element_at(F.transform(cut, lambda chars: F.concat(*[of(chars, n) for n in GRAMS])), 1)
 
 
 def features(host_: Column, path_: Column, dimensions: int = DIMENSIONS) -> Column:
     """Distinct hashed n-grams of host and path, and the base feature in the last place."""
     name = F.concat(F.lit("^"), host_, F.lit("$"))
     return F.array_distinct(
-        F.concat(*_grams(name, "host", dimensions), *_grams(path_, "path", dimensions), F.array(F.lit(dimensions)))
+        F.concat(_grams(name, "host", dimensions), _grams(path_, "path", dimensions), F.array(F.lit(dimensions)))
     )
 
 
