@@ -11,7 +11,9 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from corpusflow.llm import decontaminate, toxicity
-from tests.llm import test_mixing, test_near_dedup
+from tests.llm.cases import awkward, table
+from tests.llm.test_mixing import plain as plain_mix
+from tests.llm.test_near_dedup import plain as plain_dedup
 from tests.llm.cases import SCHEMA, awkward, table
 
 FOLDER = "/root/testdata/sf0.001"
@@ -53,7 +55,7 @@ def test_toxicity(spark, staged):
 def test_near_dedup(staged):
     before, after = (sorted(set(rows(x)), key=str) for x in staged[1])
     given = [(r[0], r[1]) for r in before]
-    plain = test_near_dedup.plain(given, 5, 80)
+    plain = plain_dedup(given, 5, 80)
     want = {r for r, p in zip(before, plain, strict=True) if p[3] or (r[0] is None and p[2] is None)}
     assert set(after) == want and staged[1][1].count() == len(after)
 
@@ -72,7 +74,7 @@ def test_decontaminate(spark, staged):
 def test_mixing(staged):
     before, after = (rows(x) for x in staged[3])
     want = []
-    for r, (_, size, _, _, taken) in zip(before, test_mixing.plain(before), strict=True):
+    for r, (_, size, _, _, taken) in zip(before, plain_mix(before), strict=True):
         want += [r] * (taken // size if size else 1)
     assert sorted(after, key=str) == sorted(want, key=str)
 
