@@ -25,8 +25,8 @@ standard deviations below.
 
 Defined results: null, empty and blank texts have no shingle and are linked with
 nothing; texts shorter than a shingle are one shingle; rows without an id are
-linked through equal sets only and take the component of their copies, else
-null; rows with one id and different texts are separate documents until a link
+linked like all others and take the least id of their component, null if it holds
+none; rows with one id and different texts are separate documents until a link
 joins them. Further columns are not looked at.
 """
 
@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from corpusflow.llm.common import columns
 from corpusflow.llm.components import components
 from corpusflow.llm.grams import shingles
-from corpusflow.session import fits_broadcast, join_checked, settled
+from corpusflow.session import join_checked, settled
 
 BANDS, ROWS = 32, 4
 BASE, RATE, TOP = 1.001, 20.0, 65_534
@@ -180,11 +180,14 @@ def _full_sets(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, words: int)
                 {"node": batch.column("node"), "s": pa.array(sets, pa.list_(pa.int64()))}
             )
 
-    ids = settled(wanted.join(nodes.select("node", "rep"), "node").select("node", "rep.doc_id", "rep.text_hash"))
-    asked = F.broadcast(ids) if fits_broadcast(ids) else ids
+    ids = settled(
+        wanted.join(nodes.select("node", "rep"), "node")
+        .select("node", F.col("rep.doc_id").alias("__id"), F.col("rep.text_hash").alias("__hash"))
+    )
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash"))
     # Repeated rows of a representative give equal sets; one of them is kept.
     return settled(
-        _texts(docs).join(asked, ["doc_id", "text_hash"]).select("node", "text")
+        join_checked(_texts(docs), ids, same).select("node", "text")
         .mapInArrow(sets_of, "node binary, s array<long>").dropDuplicates(["node"])
     )
 
@@ -277,15 +280,22 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80) -> Da
     """One row per document row: doc_id, n_shingles, component_id, kept, text_hash.
 
     ``component_id`` is the least id that can be reached over links, the document's
-    own included; ``kept`` marks the documents that are their component's least id.
+    own included; ``kept`` marks the documents that are their component's least id,
+    all rows of a component without ids among them.
     """
+    return _placed(docs, words, percent).drop("label")
+
+
+def _placed(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Rows of ``near_duplicates`` with their component's label, null for texts without shingles."""
     least = percent / 100 - MARGIN
     rows = settled(_sketches(docs, words))
     nodes = settled(
-        rows.filter("n_shingles > 0 AND doc_id IS NOT NULL")
+        rows.filter("n_shingles > 0")
         .groupBy("node")
         .agg(
-            F.min(F.struct("doc_id", "text_hash")).alias("rep"),
+            # Ids first, null last.
+            F.min(F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "text_hash")).alias("rep"),
             F.first("n_shingles").alias("n_shingles"),
             F.first("bands").alias("bands"),
         )
@@ -328,14 +338,14 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80) -> Da
         labels.select(F.col("u").alias("node"), F.col("v").alias("label")), "node", "left"
     ).withColumn("label", F.coalesce("label", "node"))
     least_id = named.groupBy("label").agg(F.min("doc_id").alias("component"))
-    component = named.join(least_id, "label").select("node", "component")
+    component = named.join(least_id, "label").select("node", "component", "label")
     own = F.coalesce(F.when(F.col("n_shingles") > 0, F.col("component")), F.col("doc_id"))
     return (
         rows.select("doc_id", "text_hash", "n_shingles", "node")
         .join(component, "node", "left")
         .select(
             "doc_id", "n_shingles", own.alias("component_id"),
-            F.col("doc_id").eqNullSafe(own).alias("kept"), "text_hash",
+            F.col("doc_id").eqNullSafe(own).alias("kept"), "text_hash", "label",
         )
     )
 
@@ -343,14 +353,20 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80) -> Da
 def keep_one(docs: DataFrame, *, words: int = 5, percent: int = 80) -> DataFrame:
     """One document of each group of near duplicates, all columns unchanged.
 
-    Of rows that repeat the kept id and text, one stays. Texts are shuffled for
-    such rows only, and only if there are any.
+    Of a group's rows with the kept id, or of all its rows if none has an id, those
+    with the least text hash are chosen; of rows that repeat that id and text, one
+    stays. Texts are shuffled for such rows only, and only if there are any.
     """
+    alone = F.col("label").isNull()  # without shingles: each id and text is a group
+    chosen = F.struct(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "n")
     kept = settled(
-        near_duplicates(docs, words=words, percent=percent)
+        _placed(docs, words, percent)
         .filter("kept")
-        .groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
-        .agg((F.count(F.lit(1)) > 1).alias("__again"))
+        .groupBy("label", "doc_id", "text_hash")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .groupBy("label", F.when(alone, F.col("doc_id")), F.when(alone, F.col("text_hash")))
+        .agg(F.min(chosen).alias("one"))
+        .select("one.__id", "one.__hash", (F.col("one.n") > 1).alias("__again"))
     )
     same = F.col("doc_id").cast("bigint").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash"))
     found = join_checked(docs, kept, same)

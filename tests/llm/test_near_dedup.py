@@ -114,6 +114,49 @@ def test_one_of_each_group_stays(spark):
     assert nd.keep_one(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def row(no, text):
+    return (no, text, None, None, None, 0, "", "", "")
+
+
+def without_ids(rng):
+    """Near, not equal, copies of which some or all rows have no id, a chain over such a row, and repeated ids."""
+    bare, mixed, chain, twice = (prose(rng, 120, 5000) for _ in range(4))
+    ws = chain.split()
+    far = " ".join(ws[:100] + [f"x{k}" for k in range(20)])
+    between = " ".join(ws[:100] + [f"x{k}" for k in range(10)] + ws[110:])
+    return [
+        [row(None, bare), row(None, bare.upper()), row(None, bare.replace(" ", "\n")), row(None, near(rng, bare, 2)), row(None, bare)],
+        [row(21, mixed), row(None, near(rng, mixed, 2)), row(None, mixed + " more")],
+        [row(31, chain), row(None, between), row(32, far)],
+        [row(41, twice), row(41, near(rng, twice, 2)), row(41, twice), row(42, near(rng, twice, 2))],
+        [row(51, prose(rng, 90, 5000))], [row(51, prose(rng, 90, 5000))], [row(None, prose(rng, 90, 5000))], [row(None, None)], [row(None, " ")],
+    ]
+
+
+def test_rows_without_ids_are_linked(spark):
+    groups = without_ids(random.Random(10))
+    rows = [r for g in groups for r in g]
+    want = plain(rows, 2, 80)
+    assert [w[2] for w in want[5:11]] == [21, 21, 21, 31, 31, 31]  # the chain needs the row between
+    assert not linked(groups[2][0], groups[2][2])
+    check(spark, rows, 2)
+
+
+def linked(one, two):
+    a, b = shingle_set(one[1], 2), shingle_set(two[1], 2)
+    return 100 * len(a & b) >= 80 * len(a | b)
+
+
+def test_one_row_of_each_group_stays_without_ids_and_with_repeated_ones(spark):
+    groups = without_ids(random.Random(11))
+    rows = [r for g in groups for r in g]
+    out = [(r["doc_id"], r["text"]) for r in nd.keep_one(table(spark, rows), words=2).collect()]
+    assert len(out) == len(groups)
+    for g in groups:
+        assert sum((r[0], r[1]) in out for r in {(r[0], r[1]) for r in g}) == 1
+    assert sorted(str(i) for i, _ in out) == sorted(["None", "21", "31", "41", "51", "51", "None", "None", "None"])
+
+
 def test_registers_merge_and_estimate():
     rng = np.random.default_rng(5)
     values = rng.integers(0, 1 << 63, 4000, dtype=np.uint64)
