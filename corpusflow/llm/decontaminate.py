@@ -12,8 +12,9 @@ Items are the stated query set. They pass the driver in blocks of at most
 neither grows with the documents or with the number of items. Documents are
 never shuffled.
 
-Defined results: null and blank items match nothing; null and empty documents
-hold nothing; items below ``exact_below`` characters must occur without edits
+Defined results: items with a null or blank text match nothing; an item with a
+null id is searched for like any other and reported with that null id; null and
+empty documents hold nothing; items below ``exact_below`` characters must occur without edits
 and between word edges; equal items are all reported; a document row that occurs
 twice is reported twice. A pair is reported once, with its fewest edits and, of
 those, the earliest place.
@@ -105,7 +106,7 @@ def best_match(item: str, text: str, errors: int) -> tuple[int, int, int] | None
 class Finder:
     """Finds the items of one block in texts."""
 
-    def __init__(self, block: list[tuple[str, list[int]]], rate: float, exact_below: int) -> None:
+    def __init__(self, block: list[tuple[str, list[int | None]]], rate: float, exact_below: int) -> None:
         self.block = block
         self.errors = [budget(len(item), rate, exact_below) for item, _ in block]
         self.exact_below = exact_below
@@ -138,7 +139,7 @@ class Finder:
             merged[no] = out
         return merged
 
-    def find(self, original: str | None) -> list[tuple[int, int, int, int]]:
+    def find(self, original: str | None) -> list[tuple[int | None, int, int, int]]:
         """(item id, edits, start, stop) in characters of the original text."""
         text = normalised(original)
         found = []
@@ -162,14 +163,15 @@ class Finder:
         origin: list[int] = []
         for word in re.finditer(r"\S+", original):
             origin += ([word.start() - 1] if origin else []) + list(range(word.start(), word.end()))
-        return sorted((i, e, origin[a], origin[b - 1] + 1) for i, e, a, b in found)
+        places = [(i, e, origin[a], origin[b - 1] + 1) for i, e, a, b in found]
+        return sorted(places, key=lambda m: (m[0] is not None, m[0] or 0, *m[1:]))
 
 
-def blocks(items: DataFrame, block_chars: int) -> Iterator[list[tuple[str, list[int]]]]:
+def blocks(items: DataFrame, block_chars: int) -> Iterator[list[tuple[str, list[int | None]]]]:
     """Distinct normalised items with their ids, in blocks of bounded size."""
-    held: dict[str, list[int]] = {}
+    held: dict[str, list[int | None]] = {}
     size = 0
-    rows = items.select("item_id", "text").filter(F.col("text").isNotNull() & F.col("item_id").isNotNull())
+    rows = items.select("item_id", "text").filter(F.col("text").isNotNull())
     for row in rows.orderBy("item_id").toLocalIterator():
         text = normalised(row["text"])
         if not text:
@@ -179,12 +181,12 @@ def blocks(items: DataFrame, block_chars: int) -> Iterator[list[tuple[str, list[
             held, size = {}, 0
         if text not in held:
             size += len(text)
-        held.setdefault(text, []).append(int(row["item_id"]))
+        held.setdefault(text, []).append(None if row["item_id"] is None else int(row["item_id"]))
     if held:
         yield list(held.items())
 
 
-def _found(block: list[tuple[str, list[int]]], rate: float, exact_below: int, text: Column) -> Column:
+def _found(block: list[tuple[str, list[int | None]]], rate: float, exact_below: int, text: Column) -> Column:
     @F.pandas_udf(FOUND)
     def found(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         finder = Finder(block, rate, exact_below)

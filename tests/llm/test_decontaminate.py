@@ -92,6 +92,25 @@ def test_finds_every_match_within_the_budget(spark):
     assert kept.columns == table(spark, rows).columns
 
 
+def test_items_without_an_id_are_searched_for(spark):
+    rng = random.Random(4)
+    lost, known = prose(rng, 20, 5000), prose(rng, 20, 5000)
+    rows = [
+        (1, f"before {lost} after", None, None, None, 0, "", "", ""),
+        (2, f"before {spoil(rng, lost, 2)} after", None, None, None, 0, "", "", ""),
+        (3, f"before {known} after {lost}", None, None, None, 0, "", "", ""),
+        (4, prose(rng, 60, 5000), None, None, None, 0, "", "", ""),
+    ]
+    items = spark.createDataFrame([(None, lost), (None, lost.upper()), (7, known), (8, lost), (None, None)], ITEMS)
+    found = d.find(table(spark, rows), items).select("doc_id", "item_id", "errors").collect()
+    pairs = sorted(((r[0], r[1]) for r in found), key=str)
+    assert pairs == sorted([(k, i) for k in (1, 2, 3) for i in (None, None, 8)] + [(3, 7)], key=str)
+    assert all((r["errors"] == 0) == (r["doc_id"] != 2) for r in found)
+    assert [r["doc_id"] for r in d.keep_unseen(table(spark, rows), items).collect()] == [4]
+    unnamed = spark.createDataFrame([(None, lost)], ITEMS)
+    assert [r["doc_id"] for r in d.keep_unseen(table(spark, rows), unnamed).collect()] == [4]
+
+
 def test_empty_tables(spark):
     docs, items = table(spark, awkward(random.Random(3))), spark.createDataFrame([], ITEMS)
     assert d.find(docs, items).count() == 0 and d.keep_unseen(docs, items).count() == docs.count()
