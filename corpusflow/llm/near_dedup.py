@@ -21,7 +21,9 @@ value are candidates.
 
 At the similarity of 0.8 a linked pair shares a band with probability
 1 - (1 - 0.8^4)^32, about 1 - 5e-8; the likelihood filter lies more than five
-standard deviations below.
+standard deviations below. Lower thresholds take the same registers in more bands
+of two or one, so that a pair at the threshold is missed with probability ``MISS``
+at most; where even bands of one register miss more, the threshold is refused.
 
 Defined results: null, empty and blank texts have no shingle and are linked with
 nothing; texts shorter than a shingle are one shingle; rows without an id are
@@ -47,6 +49,8 @@ from corpusflow.llm.grams import shingles
 from corpusflow.session import join_checked, settled
 
 BANDS, ROWS = 32, 4
+#: A pair at the threshold shares no band with this probability at most.
+MISS = 1e-6
 BASE, RATE, TOP = 1.001, 20.0, 65_534
 #: Turns of stars, and hubs per node and turn, before the remaining pairs are compared.
 TURNS, HUBS = 2, 2
@@ -54,8 +58,8 @@ TURNS, HUBS = 2, 2
 FEW = 256
 #: Nodes of one block beyond that: a node's set travels once per block of its band value.
 BLOCK = 2048
-#: Estimates this far below the threshold are hopeless: over five standard deviations of 128 registers.
-MARGIN = 0.2
+#: Estimates this far below the threshold are hopeless, or ``DEVIATIONS`` standard deviations of 128 registers.
+MARGIN, DEVIATIONS = 0.2, 5
 _DRAW = np.random.default_rng(8_128).integers(0, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64)
 _FACTOR, _SHIFT = _DRAW[0] * np.uint64(2) + np.uint64(1), _DRAW[1]
 
@@ -118,7 +122,21 @@ def _shingle_set(data: bytes | None, words: int) -> np.ndarray:
     return shingles((data or b"").lower(), words)  # lower() of bytes changes A-Z only
 
 
-def _sketches(docs: DataFrame, words: int) -> DataFrame:
+def band_rows(percent: int) -> int:
+    """Registers of a band: the most of ``ROWS``, 2 and 1 that keep to ``MISS`` at the threshold."""
+    share = percent / 100
+    for held in (ROWS, 2, 1):
+        if 0 < share <= 1 and (1 - share**held) ** (BANDS * ROWS // held) <= MISS:
+            return held
+    raise ValueError(f"at {percent} percent {BANDS * ROWS} registers miss more than {MISS} of the pairs at the threshold")
+
+
+def margin(percent: int) -> float:
+    share = percent / 100
+    return max(MARGIN, DEVIATIONS * (share * (1 - share) / (BANDS * ROWS)) ** 0.5)
+
+
+def _sketches(docs: DataFrame, words: int, held_rows: int) -> DataFrame:
     """Per row: id, hash of its text, size of its set, digest of the set, band values."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,7 +146,7 @@ def _sketches(docs: DataFrame, words: int) -> DataFrame:
                 held = _shingle_set(text.as_py(), words)
                 sizes.append(len(held))
                 digests.append(hashlib.blake2b(held.tobytes(), digest_size=16).digest())
-                bands.append(sketch(held).view("<i8") if len(held) else np.zeros(0, "<i8"))
+                bands.append(sketch(held).view(f"<i{2 * held_rows}").astype("<i8") if len(held) else np.zeros(0, "<i8"))
             yield pa.RecordBatch.from_pydict(
                 {
                     "doc_id": batch.column("doc_id"),
@@ -148,14 +166,15 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
 
 
-def _likely(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+def _likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Pairs (u, v) whose estimated similarity is not hopeless."""
+    width, least = 2 * band_rows(percent), percent / 100 - margin(percent)
 
     @F.pandas_udf("double")
     def estimate(a: pd.Series, b: pd.Series, n_a: pd.Series, n_b: pd.Series) -> pd.Series:
         if a.empty:
             return pd.Series([], dtype="float64")
-        left, right = (np.stack(list(x)).astype("<i8").view("<u2").reshape(len(x), -1) for x in (a, b))
+        left, right = (np.stack(list(x)).astype(f"<i{width}").view("<u2").reshape(len(x), -1) for x in (a, b))
         return pd.Series(likely_jaccard(left, right, n_a.to_numpy(float), n_b.to_numpy(float)))
 
     info = nodes.select("node", "bands", "n_shingles")
@@ -164,7 +183,7 @@ def _likely(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     return (
         pairs.join(one, "u").join(two, "v")
         # Sizes alone rule a pair out when the smaller is below the threshold's share.
-        .filter(F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * (least + MARGIN) - 1e-9)
+        .filter(F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * (percent / 100) - 1e-9)
         .filter(estimate("a", "b", "n_a", "n_b") >= least)
         .select("u", "v")
     )
@@ -288,8 +307,7 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80) -> Da
 
 def _placed(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """Rows of ``near_duplicates`` with their component's label, null for texts without shingles."""
-    least = percent / 100 - MARGIN
-    rows = settled(_sketches(docs, words))
+    rows = settled(_sketches(docs, words, band_rows(percent)))
     nodes = settled(
         rows.filter("n_shingles > 0")
         .groupBy("node")
@@ -308,7 +326,7 @@ def _placed(docs: DataFrame, words: int, percent: int) -> DataFrame:
     links, labels = None, None
     for turn in range(TURNS):
         stars = _stars(_mixed(held, labels), turn)
-        new = settled(_confirmed(_likely(stars, nodes, least), sets, percent))
+        new = settled(_confirmed(_likely(stars, nodes, percent), sets, percent))
         links = new if links is None else links.unionAll(new)
         labels = components(links)
 
@@ -329,7 +347,7 @@ def _placed(docs: DataFrame, words: int, percent: int) -> DataFrame:
         )
         .select(*_ordered("x.node", "y.node"))
     )
-    one_by_one = _confirmed(_likely(across, nodes, least), sets, percent)
+    one_by_one = _confirmed(_likely(across, nodes, percent), sets, percent)
     more = settled(one_by_one.unionAll(_by_blocks(rest.filter(F.col("n") > FEW), sets, percent)))
     if not more.isEmpty():
         labels = components(links.unionAll(more))

@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pytest
 
 from corpusflow.llm import near_dedup as nd
 from corpusflow.llm.components import components
@@ -157,6 +158,29 @@ def test_one_row_of_each_group_stays_without_ids_and_with_repeated_ones(spark):
     assert sorted(str(i) for i, _ in out) == sorted(["None", "21", "31", "41", "51", "51", "None", "None", "None"])
 
 
+def test_low_thresholds_lose_no_pair(spark):
+    rng = random.Random(12)
+    rows = []
+    for k in range(60):
+        ws = [f"p{k}x{j}" for j in range(90)]
+        # 45 of 2 * 90 - 45 words are shared: a third.
+        rows += [row(2 * k, " ".join(ws)), row(2 * k + 1, " ".join(ws[:45] + [f"q{k}x{j}" for j in range(45)]))]
+    rng.shuffle(rows)
+    assert len({p[2] for p in plain(rows, 1, 30)}) == 60
+    check(spark, rows, 1, percent=30)
+    check(spark, [r for r in rows if r[0] < 40], 1, percent=50)
+
+
+def test_bands_follow_the_threshold():
+    assert [nd.band_rows(p) for p in (100, 80, 50, 30)] == [4, 4, 2, 1]
+    for p in range(11, 101):
+        held = nd.band_rows(p)
+        assert (1 - (p / 100) ** held) ** (128 // held) <= nd.MISS
+    for p in (0, 5, 101):
+        with pytest.raises(ValueError):
+            nd.band_rows(p)
+
+
 def test_registers_merge_and_estimate():
     rng = np.random.default_rng(5)
     values = rng.integers(0, 1 << 63, 4000, dtype=np.uint64)
