@@ -55,7 +55,7 @@ def url_parts(df: DataFrame, url: str = "url") -> DataFrame:
     # Upper-case the first letter of every word, leave the others as they are.
     words = F.transform(
         F.split(spaced, "(?<![A-Za-z0-9_])(?=[a-z])"),
-        lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1_000_000)),
+        lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substr(w, F.lit(2))),
     )
     return (
         df.withColumn("host", host)
@@ -199,6 +199,33 @@ def document_limits(pages: DataFrame) -> DataFrame:
     )
 
 
+def _page_pieces(pages: DataFrame, max_chars: int, overlap: int, min_chars: int) -> DataFrame:
+    """All pieces of every page of the accepted documents."""
+    accepted = document_limits(pages).filter("reason IS NULL").select("doc_id")
+    body = tx.normalize_text(F.col("text"))
+    return (
+        pages.join(accepted, "doc_id", "left_semi")
+        .withColumn("body", body)
+        .select("doc_id", "page", chunking.chunk_text(F.col("body"), max_chars, overlap, min_chars).alias("pieces"))
+    )
+
+
+def dropped_chunks(
+    pages: DataFrame,
+    max_per_page: int = chunking.MAX_CHUNKS_PER_PAGE,
+    max_chars: int = chunking.MAX_CHARS,
+    overlap: int = chunking.OVERLAP,
+    min_chars: int = chunking.MIN_CHARS,
+) -> DataFrame:
+    """Per accepted document: how many chunks ``chunk_pages`` leaves out beyond its limit per page."""
+    beyond = F.greatest(F.size("pieces") - max_per_page, F.lit(0))
+    return (
+        _page_pieces(pages, max_chars, overlap, min_chars)
+        .groupBy("doc_id")
+        .agg(F.sum(beyond).alias("dropped_chunks"))
+    )
+
+
 def chunk_pages(
     pages: DataFrame,
     max_per_page: int = chunking.MAX_CHUNKS_PER_PAGE,
@@ -209,17 +236,10 @@ def chunk_pages(
     """Chunks of page texts with a chunk index that runs on across pages.
 
     Rejected documents drop out first, so a document has at most 400 pages
-    here and the running count over its pages stays small.
+    here and the running count over its pages stays small. ``dropped_chunks``
+    counts what lies beyond the limit per page.
     """
-    accepted = document_limits(pages).filter("reason IS NULL").select("doc_id")
-    cut = (
-        pages.join(accepted, "doc_id", "left_semi")
-        .withColumn("body", tx.normalize_text(F.col("text")))
-        .withColumn(
-            "pieces", F.slice(chunking.chunk_text(F.col("body"), max_chars, overlap, min_chars), 1, max_per_page)
-        )
-        .select("doc_id", "page", "pieces")
-    )
+    cut = _page_pieces(pages, max_chars, overlap, min_chars).withColumn("pieces", F.slice("pieces", 1, max_per_page))
     earlier = W.partitionBy("doc_id").orderBy("page").rowsBetween(W.unboundedPreceding, -1)
     based = cut.withColumn("__base", F.coalesce(F.sum(F.size("pieces")).over(earlier), F.lit(0)))
     return (

@@ -118,6 +118,25 @@ def test_pages_keep_a_running_index_and_a_limit_per_page(spark):
     assert limits == {"d": None, "e": "no_text"}
 
 
+def test_chunks_beyond_the_limit_per_page_are_counted(spark):
+    long_page = "\n\n".join(f"Paragraph {i} " + "z" * 90 for i in range(60))
+    pages = spark.createDataFrame(
+        [("d", 1, "one"), ("d", 2, long_page), ("d", 3, long_page), ("e", 1, "short"), ("f", 1, "")],
+        "doc_id string, page int, text string",
+    )
+    limits = {"max_chars": 120, "overlap": 0, "min_chars": 0}
+    dropped = {r.doc_id: r.dropped_chunks for r in corpus.dropped_chunks(pages, 4, **limits).collect()}
+    assert dropped == {"d": 112, "e": 0}
+    kept = corpus.chunk_pages(pages, 4, **limits).filter("doc_id = 'd'").count()
+    assert kept + dropped["d"] == corpus.chunk_pages(pages, 100, **limits).filter("doc_id = 'd'").count()
+
+
+def test_a_very_long_url_word_is_shown_whole(spark):
+    word = "a" * 1_000_100
+    df = spark.createDataFrame([(f"https://h.example/{word}-b",)], "url string")
+    assert corpus.url_parts(df).first()["pretty"] == "A" + word[1:] + " B"
+
+
 def test_fragments_join_in_order(spark):
     fragments = spark.createDataFrame(
         [("d", 1, 2, "world"), ("d", 1, 0, "hello"), ("d", 1, 1, ""), ("d", 2, 0, "")],
