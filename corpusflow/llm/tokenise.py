@@ -17,8 +17,12 @@ import sys
 from array import array
 from collections.abc import Iterable
 
-#: Pieces remembered per process, in two generations of this size each.
-REMEMBERED = 500_000
+#: Bytes of pieces remembered per process, in two generations of this size each.
+REMEMBERED = 16 << 20
+# What a piece and its ids take besides their characters and ids: two objects and two places in a dict.
+EACH = 190
+#: Longer pieces are encoded each time.
+LONGEST = 256
 # White space other than blank, tab, line feed and carriage return.
 UNUSUAL = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
 # Cuts before a blank that leads a word; runs of blanks end before it.
@@ -52,6 +56,7 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.new, self.old = process_store(f"new-{digest}"), process_store(f"old-{digest}")
+        self.held = sum(map(self._size, self.new.items()))
         rules = json.loads(definition)
         self.added = [t["content"] for t in rules.get("added_tokens") or []]
         plain = all(not (t.get("lstrip") or t.get("rstrip") or t.get("single_word")) for t in rules.get("added_tokens") or [])
@@ -93,31 +98,44 @@ class Encoder:
             parts = self.cut(text)
             found = list(map(self.new.get, parts))
             if None in found:
-                self._learn({p for p, ids in zip(parts, found, strict=True) if ids is None})
-                new, old = self.new, self.old
-                found = [new[p] if p in new else old[p] for p in parts]
+                # What this text needs stays in ``learnt``, also where a generation ends in between.
+                learnt = self._learn({p for p, ids in zip(parts, found, strict=True) if ids is None})
+                found = [learnt[p] if ids is None else ids for p, ids in zip(parts, found, strict=True)]
             out.append(b"".join(found))
         return out
 
-    def _learn(self, missing: set[str]) -> None:
-        """Pieces of the older generation move up, the others are encoded; the older generation goes when full."""
-        if self.new and len(self.new) + len(missing) > REMEMBERED:
+    @staticmethod
+    def _size(item: tuple[str, bytes]) -> int:
+        return EACH + len(item[0]) + len(item[1])
+
+    def _keep(self, part: str, ids: bytes) -> None:
+        """Remembers a piece; when the newer generation is full it becomes the older one, which goes."""
+        if len(part) > LONGEST:
+            return
+        size = self._size((part, ids))
+        if self.held + size > REMEMBERED:
             self.old.clear()
             self.old.update(self.new)
             self.new.clear()
-        known = [p for p in missing if p in self.old]
-        self.new.update(zip(known, map(self.old.get, known), strict=True))
+            self.held = 0
+        self.new[part] = ids
+        self.held += size
+
+    def _learn(self, missing: set[str]) -> dict[str, bytes]:
+        """Ids of pieces that the newer generation lacks: from the older one, or encoded."""
+        learnt = {p: self.old[p] for p in missing if p in self.old}
         rest = []
-        for part in missing:
-            if part in self.old:
-                continue
+        for part in missing - learnt.keys():
             plain = PLAIN.fullmatch(part) if self.model else None
             if plain:
-                self.new[part] = self._word(plain[1]) + (self._tail(plain[2]) if plain[2] else b"")
+                learnt[part] = self._word(plain[1]) + (self._tail(plain[2]) if plain[2] else b"")
             else:
                 rest.append(part)
         for part, ids in zip(rest, self.whole(rest), strict=True):
-            self.new[part] = array("I", ids).tobytes()
+            learnt[part] = array("I", ids).tobytes()
+        for item in learnt.items():
+            self._keep(*item)
+        return learnt
 
     def _word(self, word: str) -> bytes:
         """Ids of a plain word straight from the merges, spelt as the pre-tokenizer would hand it over."""
@@ -132,6 +150,8 @@ class Encoder:
         return array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes()
 
     def _tail(self, tail: str) -> bytes:
+        if len(tail) > 4:
+            return array("I", self.whole([tail])[0]).tobytes()
         if tail not in self.tails:
             self.tails[tail] = array("I", self.whole([tail])[0]).tobytes()
         return self.tails[tail]
@@ -141,6 +161,8 @@ def encoder(definition: str, digest: str) -> Encoder:
     """One encoder per process and tokenizer."""
     held = process_store("encoders")
     if digest not in held:
+        # What another tokenizer left behind goes with it.
+        sys.__dict__["_corpusflow_store"] = {"encoders": held}
         held.clear()
         held[digest] = Encoder(definition, digest)
     return held[digest]
