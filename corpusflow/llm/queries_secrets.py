@@ -20,7 +20,7 @@ def _sql() -> str:
            unnest(regexp_extract_all(t, '{pattern}')) AS m,
            unnest(regexp_extract_all(t, '{pattern}', {rule.group})) AS judged,
            unnest(string_split_regex(t, '{pattern}')[1:len(regexp_extract_all(t, '{pattern}'))]) AS gap,
-           unnest(range(1, len(regexp_extract_all(t, '{pattern}')) + 1)) AS i, {rule.least} AS least
+           unnest(range(1, len(regexp_extract_all(t, '{pattern}')) + 1)) AS i, {rule.least} AS least, '{rule.lead}' AS lead
     FROM d WHERE regexp_matches(t, '{pattern}')""")
     base = len(secrets.BASE)
     return f"""
@@ -31,7 +31,7 @@ WITH d AS (
     SELECT *, sum(length(gap) + length(m)) OVER (PARTITION BY rowid, no ORDER BY i) AS stop FROM m
 ), f AS (
     SELECT rowid, no, kind || ':' || (stop - length(m))::BIGINT || ':' || stop::BIGINT AS s, stop - length(m) AS start
-    FROM p WHERE length(judged) >= least
+    FROM p WHERE length(judged) >= least AND starts_with(m, lead)
 ), a AS (
     SELECT rowid, count(*) FILTER (no = 1) AS n_assign, count(*) FILTER (no = 2) AS n_access,
            count(*) FILTER (no = 3) AS n_hex,

@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 
 from corpusflow.llm import secrets
 from corpusflow.llm.common import shared_folder
@@ -76,5 +77,23 @@ def secrets_of(row):
     return [(s["start"], s["no"], s["stop"]) for s in row["spans"]]
 
 
+def test_hostile_texts_take_little_time_and_stack(spark):
+    token = "eyJhbGciOiJI.eyJzdWIiOiIx.SflKxwRJSMeK"
+    pem = "-----BEGIN RSA PRIVATE KEY-----"
+    texts = [
+        "-----BEGIN " + "A " * 500_000, "-----BEGIN " + "A " * 500_000 + "PRIVATE KEY-----", "eyJ" * 350_000, "eyJ" * 300_000 + ".abcdefgh." + "eyJ" * 30_000,
+        "eyJhbGciOiJI." * 80_000, "xoxb-" * 200_000, "ghp_" * 250_000, "AKIA" * 250_000, "token=" * 160_000, "a." * 500_000 + token,
+        f"({token}) {pem} x{token}.", "-----BEGIN PRIVATE KEY-----" * 3,
+    ]
+    rows = [(k, t, None, None, None, 0, "", "", "") for k, t in enumerate(texts)]
+    start = time.monotonic()
+    got = {r["doc_id"]: [s for s in r["spans"].split(",") if s.split(":")[0] in ("pem", "jwt")] for r in report(table(spark, rows), shared_folder(spark, "ledger")).collect()}
+    assert time.monotonic() - start < 60
+    assert got[0] == got[2] == [] and got[1] == [f"pem:0:{len(texts[1])}"] and got[3] == [f"jwt:0:{len(texts[3])}"]
+    assert got[4][0] == f"jwt:0:{3 * 13 - 1}" and len(got[4]) == 80_000 // 3
+    assert got[10] == [f"jwt:1:{1 + len(token)}", f"pem:{3 + len(token)}:{3 + len(token) + len(pem)}"]
+    assert len(got[11]) == 3
+
+
 def test_empty_table(spark):
     assert report(spark.createDataFrame([], SCHEMA), shared_folder(spark, "ledger")).count() == 0
