@@ -147,7 +147,7 @@ CTES["changed_bodies"] = "SELECT n.* FROM bodies n LEFT JOIN old_bodies o USING
     ),
 )
 def load_in_place(spark, d):
-    """The earlier load is stored; the new one rewrites only the buckets it touches."""
+    """The earlier load is stored; the new one appends only the rows it changes."""
     path = fresh_dir(spark, "store")
     columns = ["doc_id", "url", "title", "markdown", "doc_type", "language"]
     nothing = spark.createDataFrame([], "doc_id string, chunk_index int, content_hash string, source_hash string")

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import shutil
 from datetime import datetime
 from pathlib import Path
 
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from corpusflow.operators import load
 from corpusflow.plans import ingest
 from corpusflow.sources import corpus as corpus_source
-from corpusflow.sources import events, tables, uploads
+from corpusflow.sources import appended, events, tables, uploads
 
 T1, T2 = datetime(2024, 1, 1), datetime(2024, 1, 2)
 
@@ -71,7 +72,7 @@ def files_of(path):
     return {str(p): p.stat().st_mtime_ns for p in Path(path).rglob("*.parquet")}
 
 
-def test_merge_rewrites_touched_buckets_only(spark, tmp_path):
+def test_merge_appends_to_touched_buckets_only(spark, tmp_path):
     path = str(tmp_path / "store")
     docs = [f"doc{i}" for i in range(40)]
     tables.write_chunks(chunk_rows(spark, [(d, i, f"{d}-{i}") for d in docs for i in range(3)]), path, buckets=16)
@@ -81,7 +82,7 @@ def test_merge_rewrites_touched_buckets_only(spark, tmp_path):
     tables.merge_chunks(spark, path, new, loaded, buckets=16)
     after = files_of(path)
     replaced = {p.split("bucket=")[1].split("/")[0] for p in set(before) ^ set(after)}
-    assert len(replaced) == 1
+    assert len(replaced) == 1 and set(before) < set(after)
     got = {(r.doc_id, r.chunk_index): r.content_hash for r in tables.read_chunks(spark, path).collect()}
     assert got[("doc3", 0)] == "changed" and got[("doc3", 1)] == "doc3-1" and ("doc3", 2) not in got
     assert len(got) == 40 * 3 - 1
@@ -165,7 +166,7 @@ def test_a_load_without_a_stored_column_keeps_it(spark, tmp_path):
     new = chunk_rows(spark, [("doc1", 0, "new"), ("doc2", 0, "new"), ("doc99", 0, "new")]).withColumn("lang", F.lit("en"))
     loaded = new.select("doc_id", "chunk_index")
     tables.merge_chunks(spark, path, new, loaded, buckets=2)
-    got = {r.doc_id: r for r in spark.read.option("mergeSchema", "true").parquet(path).collect()}
+    got = {r.doc_id: r for r in tables.read_chunks(spark, path).collect()}
     assert len(got) == 21
     for i in range(20):
         row = got[f"doc{i}"]
@@ -181,3 +182,58 @@ def test_a_merge_that_drops_a_stored_column_is_refused(spark, tmp_path):
     with pytest.raises(ValueError, match="content_hash"):
         tables.merge_table(spark, path, rows, lambda df: df.drop("content_hash"), rows.schema, buckets=2)
     assert tables.read_chunks(spark, path).count() == 1
+
+
+def bytes_of(path):
+    return sum(p.stat().st_size for p in Path(path).rglob("*.parquet"))
+
+
+def test_a_small_load_writes_in_proportion(spark, tmp_path):
+    path = str(tmp_path / "store")
+    many = spark.range(200_000).selectExpr("concat('doc', id) as doc_id", "0 as chunk_index", "sha2(cast(id as string), 256) as content_hash", "timestamp'2024-01-01' as created_at")
+    tables.write_chunks(many, path, buckets=16)
+    whole = bytes_of(path)
+    new = many.limit(100).withColumn("content_hash", F.lit("new"))
+    tables.merge_chunks(spark, path, new, new.select("doc_id", "chunk_index"), buckets=16)
+    assert 0 < bytes_of(path) - whole < whole / 100
+    assert tables.read_chunks(spark, path).filter("content_hash = 'new'").count() == 100
+    assert tables.read_chunks(spark, path).count() == 200_000
+    # The same load again changes nothing and writes nothing.
+    before = bytes_of(path)
+    tables.merge_chunks(spark, path, new, new.select("doc_id", "chunk_index"), buckets=16)
+    assert bytes_of(path) == before
+
+
+def test_loads_are_compacted_and_unfinished_ones_ignored(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "store")
+    monkeypatch.setattr(appended, "MAX_LOADS", 3)
+    want = {f"d{i}": "0" for i in range(30)}
+    tables.write_chunks(chunk_rows(spark, [(d, 0, c) for d, c in want.items()]), path, buckets=4)
+    for turn in range(6):
+        gone = f"d{turn}"
+        new = {f"d{(turn * 7) % 30}": f"t{turn}", f"new{turn}": "n"}
+        want |= new
+        want.pop(gone, None)
+        new.pop(gone, None)
+        rows_ = chunk_rows(spark, [(d, 0, c) for d, c in new.items()])
+        loaded = rows_.select("doc_id", "chunk_index").unionByName(spark.createDataFrame([(gone, None)], "doc_id string, chunk_index int"))
+        tables.merge_chunks(spark, path, rows_, loaded, buckets=4)
+        assert {r.doc_id: r.content_hash for r in tables.read_chunks(spark, path).collect()} == want
+    numbers, base = appended.live(spark, path)
+    assert base > 0 and len(numbers) <= 4
+    unfinished = Path(path) / f"load={max(numbers) + 1}" / "bucket=0"
+    unfinished.mkdir(parents=True)
+    shutil.copy(next(Path(path).rglob("*.parquet")), unfinished / "part.parquet")
+    assert {r.doc_id: r.content_hash for r in tables.read_chunks(spark, path).collect()} == want
+    appended.drop_superseded(spark, path)
+    assert {r.doc_id: r.content_hash for r in tables.read_chunks(spark, path).collect()} == want
+
+
+def test_a_lookup_opens_the_partitions_of_the_asked_documents(spark, tmp_path):
+    path = str(tmp_path / "store")
+    tables.write_chunks(chunk_rows(spark, [(f"d{i}", k, "h") for i in range(50) for k in range(2)]), path, buckets=16)
+    asked = spark.createDataFrame([("d3",), ("d3",), ("none",)], "doc_id string")
+    found = tables.lookup(spark, path, asked, buckets=16)
+    assert [(r.doc_id, r.chunk_index) for r in found.orderBy("chunk_index").collect()] == [("d3", 0), ("d3", 1)]
+    plan = found._jdf.queryExecution().toString()
+    assert "PartitionFilters" in plan and "bucket#" in plan.split("PartitionFilters")[1][:400]
