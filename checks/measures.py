@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from checks import derive, sqlkit
 from checks.registry import flat, query
-from checks.retrieval import _vector_tables
+from checks.retrieval import _CELLS, _in_cells, _labelled, _vector_tables
 from checks.sqlkit import CTES, ctes, seconds, similarity
 from corpusflow.operators import encode, evaluation, fusion, lexical, memory, usage, vector
 from corpusflow.session import fits_broadcast
@@ -279,12 +279,16 @@ def compare_modes(spark, d):
     )
 
 
-@query("E10_ann_recall")
+@query(
+    "E10_ann_recall",
+    f"""{_CELLS}, a AS ({_in_cells('8')} QUALIFY rank <= 10), x AS ({_in_cells('10')} QUALIFY rank <= 10)
+        SELECT round(avg(CASE WHEN a.item_id IS NULL THEN 0.0::DOUBLE ELSE 1.0 END), 6) AS recall, count(*) AS pairs
+        FROM x LEFT JOIN a USING (query_id, item_id)""",
+)
 def ann_recall(spark, d):
     queries, items = _vector_tables(spark, d)
     exact = vector.knn(queries, items, 10)
-    cells = vector.train_cells(items, 10)
-    return vector.ann_recall(exact, vector.knn_approx(queries, items, 10, cells=cells, probes=8))
+    return flat(vector.ann_recall(exact, vector.knn_approx(queries, items, 10, cells=_labelled(spark, d), probes=8)))
 
 
 @query(

@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from checks import derive, sqlkit
 from checks.registry import flat, query
-from checks.sqlkit import ctes, similarity
-from corpusflow.operators import context, filters, fusion, lexical, vector
+from checks.sqlkit import CTES, ctes, similarity
+from corpusflow.operators import context, filters, fusion, index, lexical, vector
+from corpusflow.sources import appended
+from corpusflow.streaming.run import fresh_dir
 
 # ---- filters ---------------------------------------------------------------
 
@@ -112,17 +114,61 @@ def knn_all_cells(spark, d):
     return flat(vector.knn_approx(queries, items, 10, cells=vector.train_cells(items, 10), probes=10))
 
 
-@query("R7_knn_cells")
+# Centres are the mean vector of each label, so the cells have an SQL twin.
+_CELLS = f"""WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+        m AS (SELECT label, dim, avg(x) AS x FROM (SELECT label, unnest(e) AS x, unnest(range(len(e))) AS dim FROM v) GROUP BY ALL),
+        c AS (SELECT row_number() OVER (ORDER BY label) - 1 AS cell, list(x ORDER BY dim) AS e FROM m GROUP BY label),
+        d AS (SELECT vec_id, e, list(cell ORDER BY sim DESC, cell) AS cells
+              FROM (SELECT vec_id, v.e, cell, round(list_dot_product(v.e, c.e) / sqrt(list_dot_product(c.e, c.e)), 9) AS sim FROM v CROSS JOIN c) GROUP BY ALL)"""
+
+
+def _in_cells(probes: str, extra: str = "") -> str:
+    """The ten nearest among the items of each query's first cells."""
+    return f"""SELECT {extra} q.vec_id AS query_id, i.vec_id AS item_id, {similarity('q.e', 'i.e')} AS similarity,
+               row_number() OVER (PARTITION BY {extra} q.vec_id ORDER BY {similarity('q.e', 'i.e')} DESC, i.vec_id) AS rank
+        FROM d q JOIN d i ON list_contains(q.cells[1:{probes}], i.cells[1])"""
+
+
+def _labelled(spark, d):
+    e = derive.given(spark, d, "embeddings")
+    return index.mean_centres(e, "label")
+
+
+@query("R7_knn_cells", f"{_CELLS} {_in_cells('8')} QUALIFY rank <= 10")
 def knn_cells(spark, d):
     queries, items = _vector_tables(spark, d)
-    cells = vector.train_cells(items, 10)
-    return vector.knn_approx(queries, items, 10, cells=cells, probes=8)
+    return flat(vector.knn_approx(queries, items, 10, cells=_labelled(spark, d), probes=8))
 
 
-@query("R8_recall_by_probes")
+@query("R7_knn_stored_cells", f"{_CELLS} {_in_cells('8')} QUALIFY rank <= 10")
+def knn_stored_cells(spark, d):
+    """Served from the stored cells, after a load that adds a third of the vectors and moves others."""
+    queries, items = _vector_tables(spark, d)
+    path = fresh_dir(spark, "cells")
+    chunks = items.withColumnRenamed("item_id", "chunk_id")
+    third, fifth = F.col("chunk_id") % 3 == 0, F.col("chunk_id") % 5 == 0
+    moved = F.when(fifth, F.transform("embedding", lambda x: -x)).otherwise(F.col("embedding"))
+    before = chunks.filter(~third).withColumn("embedding", moved.cast("array<float>"))
+    index.build_cells(before, path, _labelled(spark, d))
+    index.update_cells(before.filter(fifth), chunks.filter(third | fifth), path)
+    return flat(index.knn_stored(spark, path, queries, 10, probes=8))
+
+
+_PROBES = [1, 2, 4, 8, 10]
+
+
+@query(
+    "R8_recall_by_probes",
+    f"""{_CELLS}, p AS (SELECT unnest({_PROBES}) AS probes), a AS (
+          {_in_cells('probes', 'probes,').replace("FROM d q", "FROM p CROSS JOIN d q")} QUALIFY rank <= 10
+        ), x AS (SELECT query_id, item_id FROM a WHERE probes = {_PROBES[-1]})
+        SELECT probes::BIGINT AS probes, round(avg(CASE WHEN a.item_id IS NULL THEN 0.0::DOUBLE ELSE 1.0 END), 6) AS recall, count(*) AS pairs
+        FROM p CROSS JOIN x LEFT JOIN a USING (probes, query_id, item_id) GROUP BY probes""",
+)
 def recall_by_probes(spark, d):
+    """Looking into all ten cells is exact."""
     queries, items = _vector_tables(spark, d)
-    return vector.recall_by_probes(queries, items, 10, vector.train_cells(items, 10), [1, 2, 4, 8, 10])
+    return flat(vector.recall_by_probes(queries, items, 10, _labelled(spark, d), _PROBES))
 
 
 # ---- words -----------------------------------------------------------------
@@ -157,6 +203,31 @@ def lexical_search(spark, d):
     return flat(lexical.lexical_search(derive.questions(spark, d), chunks, 32))
 
 
+def _stored_postings(spark, d):
+    """The lists of all paragraphs, written as the earlier state and one load that changes, adds and removes chunks."""
+    path = fresh_dir(spark, "postings")
+    now = lexical.with_tokens(derive.paragraph_chunks(spark, d)).select("chunk_id", "content", "tokens")
+    added, changed = F.col("chunk_id") % 7 == 0, F.col("chunk_id") % 7 == 1
+    drafts = lexical.with_tokens(now.filter(changed).withColumn("content", F.concat(F.lit("draft of "), F.reverse("content"))))
+    lost = now.filter("chunk_id % 7 = 2").withColumn("chunk_id", -F.col("chunk_id") - 1)
+    index.build_postings_store(now.filter(~added & ~changed).unionByName(drafts).unionByName(lost), path, parts=16)
+    index.update_postings(drafts.unionByName(lost), now.filter(added | changed), path, parts=16)
+    return path
+
+
+@query("L4_stored_postings", ctes("SELECT query_id, chunk_id, lexical, rnk AS rank FROM worded"))
+def stored_postings(spark, d):
+    return flat(index.lexical_stored(spark, _stored_postings(spark, d), derive.questions(spark, d), 32, parts=16))
+
+
+@query(
+    "L1_stored_terms",
+    ctes("SELECT term, count(DISTINCT chunk_id) AS df FROM postings GROUP BY term"),
+)
+def stored_terms(spark, d):
+    return flat(appended.read(spark, f"{_stored_postings(spark, d)}/terms", ["term"]))
+
+
 @query(
     "L4_short_queries",
     ctes("""WITH words AS MATERIALIZED (SELECT item_id * 1000 + ord AS query_id, t AS term FROM (
@@ -190,6 +261,38 @@ def rrf(spark, d):
     return fusion.rrf([near, worded])
 
 
+# One cell per language: the mean vector of its chunks. Questions look into two.
+CTES["chunk_centres"] = """
+      SELECT row_number() OVER (ORDER BY language) - 1 AS cell, list(x ORDER BY dim) AS e
+      FROM (SELECT language, dim, avg(x) AS x FROM (SELECT language, unnest(vec) AS x, unnest(range(len(vec))) AS dim
+            FROM chunk_vectors JOIN chunks USING (chunk_id)) GROUP BY ALL) GROUP BY language"""
+_TO_CENTRE = "round(list_dot_product(v.vec, c.e) / sqrt(list_dot_product(c.e, c.e)), 9)"
+CTES["chunk_cells"] = f"""
+      SELECT chunk_id, min_by(cell, {{'minus': -sim, 'cell': cell}}) AS cell
+      FROM (SELECT chunk_id, cell, {_TO_CENTRE} AS sim FROM chunk_vectors v CROSS JOIN chunk_centres c) GROUP BY chunk_id"""
+CTES["query_cells"] = f"""
+      SELECT query_id, cell FROM (SELECT query_id, cell, {_TO_CENTRE} AS sim FROM query_vectors v CROSS JOIN chunk_centres c)
+      QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, cell) <= 2"""
+CTES["near_cells"] = """
+      SELECT query_id, chunk_id, sim, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, chunk_id) AS rnk
+      FROM sims JOIN chunk_cells USING (chunk_id) JOIN query_cells USING (query_id, cell) QUALIFY rnk <= 32"""
+CTES["fused_cells"] = CTES["fused"].replace("FROM near ", "FROM near_cells ")
+
+
+@query(
+    "R10_hybrid_stored",
+    ctes("""SELECT query_id, chunk_id, vector_score, lexical_score, rrf_score,
+              row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, chunk_id) AS rank FROM fused_cells QUALIFY rank <= 32"""),
+)
+def hybrid_stored(spark, d):
+    """Both lists from the stored index; of four cells each question opens two."""
+    path = fresh_dir(spark, "index")
+    chunks = derive.search_chunks(spark, d)
+    index.build_cells(chunks, path, index.mean_centres(chunks.withColumn("language", F.col("metadata.language")), "language"))
+    index.build_postings_store(chunks, path, parts=16)
+    return flat(index.hybrid_stored(spark, path, derive.asked(spark, d), probes=2, parts=16))
+
+
 @query(
     "R10_hybrid_search",
     ctes("SELECT h.query_id, h.chunk_id, c.doc_id, c.content, vector_score, lexical_score, rrf_score, rnk AS rank FROM hybrid h JOIN chunks c USING (chunk_id)"),

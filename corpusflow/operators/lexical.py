@@ -163,7 +163,11 @@ def _walk_covers(terms: Column, tokens: Column) -> Column:
     span that ends here. A span counts only when its start moved on.
     """
     placed = F.transform(tokens, lambda t, at: F.struct(at.alias("pos"), F.array_position(terms, t).alias("term")))
-    hits = F.filter(placed, lambda h: h["term"] > 0)
+    return cover_of_hits(terms, F.filter(placed, lambda h: h["term"] > 0))
+
+
+def cover_of_hits(terms: Column, hits: Column) -> Column:
+    """Cover density from ``hits``: (pos, number of the term from 1) in order of position."""
 
     def step(state: Column, hit: Column) -> Column:
         here = state["seen"] + 1

@@ -31,6 +31,7 @@ GROUP_QUERIES = 4096
 # Columns of one matrix product, to bound the memory of a task.
 PRODUCT_CELLS = 8_000_000
 DIGITS = 6
+CENTRE_DIGITS = 9
 
 
 def unit_rows(vectors: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -254,7 +255,8 @@ class Cells:
         def probe(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             for batch in batches:
                 rows = np.stack(batch.to_numpy()) if len(batch) else np.zeros((0, centres.shape[1]))
-                order = np.argsort(-(rows @ centres.T), axis=1, kind="stable")[:, :probes]
+                # Rounded, so that equal distances fall to the smaller number everywhere.
+                order = np.argsort(-np.round(rows @ centres.T, CENTRE_DIGITS), axis=1, kind="stable")[:, :probes]
                 yield pd.Series(list(order.astype(np.int32)))
 
         return df.withColumn("cell", F.explode(probe(F.col(vector))))

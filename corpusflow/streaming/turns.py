@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from typing import Any
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from corpusflow.operators import memory
+from corpusflow.operators.encode import Encoder, embed
 from corpusflow.streaming.run import use_state_store
 
 # --- fixed values -----------------------------------------------------------
@@ -18,13 +14,6 @@ CLOSING = ["done", "error", "end"]
 IDLE_MINUTES = 60
 # ---------------------------------------------------------------------------
 
-EVENT = ["seq", "type", "text", "model", "mode", "stop_reason", "n_sources", "in_tok", "out_tok", "kind"]
-TURN = (
-    "request_id string, content string, deltas bigint, model string, mode string, stop_reason string,"
-    " n_sources bigint, in_tok bigint, out_tok bigint, error_kind string"
-)
-
-
 def flat_events(events: DataFrame) -> DataFrame:
     """request_id, seq, ts and ``event`` to one flat row per event."""
     return events.select(
@@ -43,140 +32,72 @@ def flat_events(events: DataFrame) -> DataFrame:
     )
 
 
-def assemble_turns(events: DataFrame) -> DataFrame:
-    """One row per request that was closed: text in order, last value of the rest.
+def _assembled(events: GroupedData) -> DataFrame:
+    """Text in order, last value of the rest; an event that arrives twice counts once.
 
     The answer text of one request is the result cell, so its pieces meet here.
-    An event that arrives twice counts once.
     """
     def last(kind: str, column: str):
         return F.max_by(column, F.when(F.col("type") == kind, F.col("seq")))
 
     piece = F.when(F.col("type") == "delta", F.struct("seq", "text"))
     pieces = F.array_sort(F.collect_set(piece))
-    return (
-        events.groupBy("request_id")
-        .agg(
-            F.array_join(F.transform(pieces, lambda p: p["text"]), "").alias("content"),
-            F.size(pieces).cast("bigint").alias("deltas"),
-            last("model", "model").alias("model"),
-            last("sources", "mode").alias("mode"),
-            last("done", "stop_reason").alias("stop_reason"),
-            last("sources", "n_sources").alias("n_sources"),
-            last("usage", "in_tok").alias("in_tok"),
-            last("usage", "out_tok").alias("out_tok"),
-            last("error", "kind").alias("error_kind"),
-            F.bool_or(F.col("type").isin(*CLOSING)).alias("__closed"),
-        )
-        .filter("__closed")
-        .drop("__closed")
+    return events.agg(
+        F.array_join(F.transform(pieces, lambda p: p["text"]), "").alias("content"),
+        F.size(pieces).cast("bigint").alias("deltas"),
+        last("model", "model").alias("model"),
+        last("sources", "mode").alias("mode"),
+        last("done", "stop_reason").alias("stop_reason"),
+        last("sources", "n_sources").alias("n_sources"),
+        last("usage", "in_tok").alias("in_tok"),
+        last("usage", "out_tok").alias("out_tok"),
+        last("error", "kind").alias("error_kind"),
+        F.bool_or(F.col("type").isin(*CLOSING)).alias("__closed"),
     )
 
 
-class TurnAssembler(StatefulProcessor):
-    """Keeps the events of open requests; emits a turn when the request closes.
-
-    Events may arrive in any order inside and across batches, and twice. The
-    closing event carries the highest sequence number, so a turn is complete
-    when that many events are there. A request that stays silent is emitted with
-    what it has when its timer fires.
-    """
+def assemble_turns(events: DataFrame) -> DataFrame:
+    """One row per request that was closed."""
+    return _assembled(events.groupBy("request_id")).filter("__closed").drop("__closed")
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.events = handle.getListState(
-            "events",
-            "seq bigint, type string, text string, model string, mode string, stop_reason string,"
-            " n_sources bigint, in_tok bigint, out_tok bigint, kind string",
-        )
-        self.closed = handle.getValueState("closed", "closed boolean")
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        if self.closed.exists():
-            return
-        stored = list(self.events.get()) if self.events.exists() else []
-        frame = pd.concat(list(rows))
-        arrived = frame[EVENT].astype(object).where(frame[EVENT].notna(), None)
-        events = {event[0]: event for event in stored}
-        for row in arrived.itertuples(index=False, name=None):
-            event = tuple(_plain(value) for value in row)
-            events.setdefault(event[0], event)
-        ordered = [events[seq] for seq in sorted(events)]
-        last = max((e[0] for e in ordered if e[1] in CLOSING), default=None)
-        complete = last is not None and len(ordered) >= last + 1
-        if complete:
-            yield _turn(key, ordered)
-            self.closed.update((True,))
-            if stored:
-                self.events.clear()
-        else:
-            self.events.put(ordered)
-        if stored:
-            for old in list(self.handle.listTimers()):
-                self.handle.deleteTimer(old)
-        silent = int(pd.Timestamp(frame["ts"].max()).timestamp() * 1000) + IDLE_MINUTES * 60_000
-        self.handle.registerTimer(silent)
-
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        if not self.closed.exists() and self.events.exists():
-            yield _turn(key, sorted(self.events.get()))
-        self.events.clear()
-        self.closed.clear()
-
-    def close(self) -> None:
-        pass
-
-
-def _plain(value: Any) -> Any:
-    """Python value for the state store; whole numbers may arrive as floats."""
-    if value is None or value is pd.NA or value != value:
-        return None
-    return int(value) if isinstance(value, float) else getattr(value, "item", lambda: value)()
-
-
-def _turn(key: Any, ordered: list[tuple]) -> pd.DataFrame:
-    def last(kind: str, column: str) -> Any:
-        found = [event[EVENT.index(column)] for event in ordered if event[1] == kind]
-        return found[-1] if found else None
-
-    deltas = [event[EVENT.index("text")] or "" for event in ordered if event[1] == "delta"]
-    numbers = {
-        name: pd.array([last(kind, name)], dtype="Int64")
-        for kind, name in (("sources", "n_sources"), ("usage", "in_tok"), ("usage", "out_tok"))
-    }
-    return pd.DataFrame(
-        {
-            "request_id": [key[0]],
-            "content": ["".join(deltas)],
-            "deltas": [len(deltas)],
-            "model": [last("model", "model")],
-            "mode": [last("sources", "mode")],
-            "stop_reason": [last("done", "stop_reason")],
-            **numbers,
-            "error_kind": [last("error", "kind")],
-        }
-    )
 
+def assemble_turns_stream(events: DataFrame, late: str = "10 minutes", idle: str = f"{IDLE_MINUTES} minutes") -> DataFrame:
+    """One row per request once it was silent for ``idle``, with ``closed_at``, the end of that silence.
 
-def assemble_turns_stream(events: DataFrame, late: str = "10 minutes") -> DataFrame:
+    A session window per request: events may arrive in any order inside and across batches, and twice, as long as they
+    are at most ``late`` behind. A request that was never closed is emitted with what it has; one that goes on after
+    the silence begins another row. Open requests are all the state there is.
+    """
     use_state_store(events.sparkSession)
-    return (
-        events.withWatermark("ts", late)
-        .groupBy("request_id")
-        .transformWithStateInPandas(
-            statefulProcessor=TurnAssembler(),
-            outputStructType=TURN,
-            outputMode="append",
-            timeMode="eventTime",
-        )
-    )
+    timed = events.withWatermark("ts", late).groupBy("request_id", F.session_window("ts", idle))
+    return _assembled(timed).withColumn("closed_at", F.window_time("session_window")).drop("__closed", "session_window")
 
 
 def memory_from_turns(turns: DataFrame, questions: DataFrame) -> DataFrame:
     """Kept memories of finished turns; ``questions``: request_id, session_id,
     user_id, message_id, question, created_at."""
-    pairs = turns.join(questions, "request_id").select(
-        "user_id", "session_id", "message_id", "question", F.col("content").alias("answer"),
-        F.to_json(F.struct("stop_reason")).alias("metadata"), "created_at",
+    return _remembered(turns.join(questions, "request_id"))
+
+
+def _remembered(pairs: DataFrame) -> DataFrame:
+    return memory.memory_rows(
+        pairs.select(
+            "user_id", "session_id", "message_id", "question", F.col("content").alias("answer"),
+            F.to_json(F.struct("stop_reason")).alias("metadata"), "created_at",
+        )
     )
-    return memory.memory_rows(pairs)
+
+
+def memory_stream(
+    events: DataFrame, questions: DataFrame, *, late: str = "10 minutes", idle: str = f"{IDLE_MINUTES} minutes",
+    longest: str = "1 day", dim: int = 64, encoder: Encoder | None = None,
+) -> DataFrame:
+    """Streams of answer events and of questions to a stream of embedded memories.
+
+    A turn meets its question if it ends within ``longest`` after it. Both sides have a watermark and the interval bounds what is
+    kept: a question waits ``longest`` for its turn, a turn as long as questions may be late. Only kept memories are encoded.
+    """
+    turns = assemble_turns_stream(events, late, idle)
+    asked = questions.withWatermark("created_at", late).withColumnRenamed("request_id", "__request")
+    within = (F.col("closed_at") >= F.col("created_at")) & (F.col("closed_at") <= F.col("created_at") + F.expr(f"INTERVAL {longest}"))
+    return embed(_remembered(turns.join(asked, (F.col("request_id") == F.col("__request")) & within)), "content", dim=dim, encoder=encoder)

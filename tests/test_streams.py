@@ -33,9 +33,11 @@ def test_events_out_of_order_across_batches_and_repeated(spark, tmp_path):
     a = [event("a", 0, "sources", mode="hybrid", n_sources=2), event("a", 1, "delta", text="Hel"),
          event("a", 2, "delta", text="lo"), event("a", 3, "done", stop_reason="end_turn")]
     b = [event("b", 0, "delta", text="x"), event("b", 1, "error", kind="overloaded")]
-    batches = [[a[3], a[1], b[0]], [a[1], b[1]], [a[2], a[0], a[3]], [a[1], b[0]]]
+    ahead = event("z", 0, "delta", text="!")
+    ahead = (*ahead[:2], NOW + timedelta(days=2), *ahead[3:])
+    batches = [[a[3], a[1], b[0]], [a[1], b[1]], [a[2], a[0], a[3]], [a[1], b[0]], [ahead]]
     df = stream(spark, str(tmp_path / "in"), batches, EVENT)
-    out = run.run_to_table(turns.assemble_turns_stream(df), "turns")
+    out = run.run_to_table(turns.assemble_turns_stream(df), "turns").drop("closed_at")
     got = {r.request_id: r for r in out.collect()}
     assert len(got) == out.count() == 2
     assert (got["a"].content, got["a"].deltas, got["a"].stop_reason, got["a"].n_sources) == ("Hello", 2, "end_turn", 2)
@@ -44,7 +46,7 @@ def test_events_out_of_order_across_batches_and_repeated(spark, tmp_path):
     assert sorted(map(tuple, batch.collect())) == sorted(map(tuple, out.collect()))
 
 
-def test_a_silent_request_is_emitted_by_its_timer(spark, tmp_path):
+def test_a_silent_request_is_emitted_when_its_window_ends(spark, tmp_path):
     late = event("z", 0, "delta", text="!")
     late = (late[0], late[1], NOW + timedelta(days=2), *late[3:])
     batches = [[event("a", 0, "delta", text="half")], [late], [(*late[:1], 1, *late[2:])]]
@@ -84,6 +86,36 @@ def test_refresh_waits_for_three_signals_or_a_minute(spark, tmp_path):
     assert got == [(0, 1), (30, 3), (130, 2)]
 
 
+def test_idle_users_leave_the_state(spark, tmp_path):
+    batches = [[(u, NOW) for u in range(20)], [(100, NOW + timedelta(hours=30))], [(100, NOW + timedelta(hours=31)), (3, NOW + timedelta(hours=31))], [(100, NOW + timedelta(hours=32))]]
+    df = stream(spark, str(tmp_path / "in"), batches, "user_id bigint, ts timestamp")
+    query = signals.profile_triggers_stream(df).writeStream.format("memory").queryName("idle").outputMode("append").option(
+        "checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    kept = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    # One value, one timer and what lists it for each user: all twenty at first, two at the end.
+    assert max(kept) >= 20 and kept[-1] <= max(kept) // 5
+    fired = [(r.user_id, r.signals) for r in spark.table("idle").collect()]
+    assert fired.count((3, 1)) == 2 and len(fired) == 20 + 4
+
+
+def test_memories_join_their_question_within_the_limit(spark, tmp_path):
+    def turn(request, hours):
+        at = NOW + timedelta(hours=hours)
+        done = [event(request, 0, "delta", text="It has three rooms and a large balcony, a kitchen, two bathrooms and a view over the whole bay. [S1]"), event(request, 1, "done", stop_reason="end_turn")]
+        return [(*e[:2], at + timedelta(seconds=e[1]), *e[3:]) for e in done]
+
+    ahead = (*event("z", 0, "delta", text="!")[:2], NOW + timedelta(days=9), *event("z", 0, "delta", text="!")[3:])
+    df = stream(spark, str(tmp_path / "in"), [turn("a", 0), turn("b", 30), turn("c", 31), [ahead]], EVENT)
+    asked = [("a", 1, "s", "u", "How many rooms does the house have?", NOW), ("b", 2, "s", "u", "How many rooms has the flat?", NOW + timedelta(hours=1)),
+             ("c", 3, "s", "u", "How many rooms has the villa?", NOW + timedelta(hours=30, minutes=30))]
+    far = [("z", 9, "s", "u", "Is it far away from the sea side?", NOW + timedelta(days=9))]
+    q = stream(spark, str(tmp_path / "q"), [asked[:2], asked[2:], far], "request_id string, message_id bigint, session_id string, user_id string, question string, created_at timestamp")
+    out = run.run_to_table(turns.memory_stream(df, q, dim=8), "memory").collect()
+    # The answer to b came 29 hours after its question.
+    assert sorted(r.message_id for r in out) == [1, 3] and all(len(r.embedding) == 8 for r in out)
+
+
 def test_late_requests_are_not_counted(spark, tmp_path):
     base = [(1, NOW + timedelta(seconds=s)) for s in range(5)]
     # Rows are dropped as late from the second batch after the one that moved the time.
