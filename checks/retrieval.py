@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks import derive, sqlkit
-from checks.registry import flat, query
+from checks.registry import SQL, flat, query
 from checks.sqlkit import CTES, ctes, similarity
 from corpusflow.operators import context, filters, fusion, index, lexical, vector
-from corpusflow.sources import appended
+from corpusflow.sources import appended, tables
 from corpusflow.streaming.run import fresh_dir
 
 # ---- filters ---------------------------------------------------------------
@@ -415,6 +415,21 @@ def retrieve(spark, d):
     )
 
 
+@query("R17_kept_results", SQL["R10_R14_retrieve"])
+def kept_results(spark, d):
+    """Half of the questions are answered and kept; then all are asked, the kept ones once more over an empty corpus."""
+    from corpusflow.plans import answer
+    from corpusflow.session import settled
+
+    chunks, sessions, store = settled(derive.search_chunks(spark, d)), derive.sessions(spark, d), fresh_dir(spark, "results")
+    questions = settled(derive.questions(spark, d).drop("mode", "session_id", "item_id"))
+    columns = ["query_id", "sid", "id", "rerank_score", "vector_score", "lexical_score", "rrf_score"]
+    for minute, asked, corpus_now in ((0, questions.filter("query_id % 2 = 0"), chunks), (1, questions, chunks), (2, questions, chunks.limit(0))):
+        now = derive.as_of() + F.expr(f"INTERVAL {minute} MINUTES")
+        found = answer.retrieve_kept(asked, corpus_now, sessions, store, now)
+    return flat(found.select(*columns))
+
+
 @query("R15_snippet", f"SELECT doc_id, {sqlkit.snippet('text')} AS snippet FROM documents")
 def snippet(spark, d):
     from corpusflow.functions import text as tx
@@ -600,6 +615,19 @@ def trace_chunks(spark, d):
     return flat(traced.select("doc_id", "page_url", "chunk_index", F.sha2("content", 256).alias("content_hash")))
 
 
+@query(
+    "R26_stored_lookup",
+    ctes("SELECT doc_id, chunk_index, sha256(content) AS content_hash FROM chunks WHERE doc_id IN (SELECT doc_id FROM chunks WHERE contains(content, 'license'))"),
+)
+def stored_lookup(spark, d):
+    """All chunks of the documents that mention a word, by point lookups in the stored table."""
+    path = fresh_dir(spark, "lookups")
+    chunks = derive.paragraph_chunks(spark, d)
+    tables.write_chunks(chunks.select("doc_id", "chunk_index", "content"), path, buckets=16)
+    found = tables.lookup(spark, path, chunks.filter(F.col("content").contains("license")).select("doc_id"), buckets=16)
+    return flat(found.select("doc_id", "chunk_index", F.sha2("content", 256).alias("content_hash")))
+
+
 @query(
     "R27_no_context",
     ctes(f"SELECT query_id, '{context.NO_CONTEXT_ANSWER}' AS answer, 'none' AS mode FROM questions WHERE query_id NOT IN (SELECT query_id FROM matched)"),

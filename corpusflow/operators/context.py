@@ -261,7 +261,10 @@ def trace_chunks(
     chunk_index: int | None = None,
     url: str | None = None,
 ) -> DataFrame:
-    """Chunks behind a source card: by id, by (doc, index), by doc or by URL."""
+    """Chunks behind a source card: by id, by (doc, index), by doc or by URL.
+
+    Over a stored table start from ``sources.tables.lookup``, which opens only the partition of the document.
+    """
     if chunk_id is not None:
         return chunks.filter(F.col("chunk_id") == chunk_id)
     if doc_id is not None:

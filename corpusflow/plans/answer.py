@@ -12,6 +12,10 @@ from corpusflow.operators.encode import Encoder, embed
 from corpusflow.operators.filters import with_owner
 from corpusflow.operators.fusion import PairScorer
 from corpusflow.session import fits_broadcast, settled
+from corpusflow.sources import appended
+
+# Partitions of a store of results, by hash of the question's key.
+RESULT_BUCKETS = 16
 
 
 def retrieve(
@@ -41,6 +45,45 @@ def retrieve(
     return fusion.shape_sources(fusion.rerank(hits.join(texts, "query_id"), "top_k", scorer))
 
 
+def _result_bucket(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(RESULT_BUCKETS)).cast("int")
+
+
+def _kept(asked: DataFrame, store: str, as_of: Column, ttl_seconds: int) -> DataFrame:
+    """Stored rows of the asked keys, of each key the newest result that is young enough; opens those keys' partitions only."""
+    spark = asked.sparkSession
+    numbers = sorted(r[0] for r in asked.select(_result_bucket(F.col("key"))).distinct().collect())
+    rows = appended.read(spark, store, ["key", "position"], buckets=numbers)
+    young = rows.filter((F.col("created_at") <= as_of) & (F.unix_micros(as_of) - F.unix_micros("created_at") < ttl_seconds * 1_000_000))
+    return young.join(young.groupBy("key").agg(F.max("created_at").alias("created_at")), ["key", "created_at"])
+
+
+def retrieve_kept(
+    questions: DataFrame, chunks: DataFrame, sessions: DataFrame, store: str, as_of: Column, *, ttl_seconds: int = 300, **options
+) -> DataFrame:
+    """``retrieve`` with results kept in ``store`` between runs.
+
+    A question whose key (text, user and everything else that changes a result) was answered less than ``ttl_seconds``
+    before ``as_of`` is not searched again; of equal questions in a batch one is searched. A question that found nothing is
+    kept too. The store is only added to.
+    """
+    spark = questions.sparkSession
+    keyed = settled(questions.withColumn("key", fusion.query_key(questions)))
+    nothing = spark.createDataFrame([], "key string, created_at timestamp")
+    prior = _kept(keyed, store, as_of, ttl_seconds).select("key", "created_at") if appended.exists(spark, store) else nothing
+    marked = settled(fusion.reuse_results(questions, prior, as_of, ttl_seconds))
+    todo = settled(marked.filter("run").drop("cached", "run"))
+    if not todo.isEmpty():
+        found = retrieve(todo.drop("key"), chunks, sessions, **options).join(todo.select("query_id", "key"), "query_id").drop("query_id")
+        # Position 0 says that the question was searched, whatever it found.
+        rows = found.unionByName(todo.select("key", F.lit(0).alias("position")), allowMissingColumns=True)
+        appended.write(rows.withColumn("created_at", as_of).withColumn("bucket", _result_bucket(F.col("key"))), store)
+        if appended.grown(spark, store):
+            appended.compact(spark, store, ["key", "position"])
+    rows = _kept(keyed, store, as_of, ttl_seconds).filter("position > 0").drop("created_at")
+    return keyed.select("query_id", "key").join(rows, "key").drop("key")
+
+
 def whole_document_sources(questions: DataFrame, chunks: DataFrame, sessions: DataFrame) -> DataFrame:
     """Source rows of the questions that ask about a document as a whole."""
     requests = questions.filter(context.is_meta_doc(F.col("text"))).select(
@@ -93,20 +136,25 @@ def ask(
     dim: int = 64,
     encoder: Encoder | None = None,
     scorer: PairScorer | None = None,
+    results: str | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """A whole table of questions to model inputs.
 
     Returns the source rows, one model input per question with sources, and the
     questions without any. A question about a document as a whole reads a slice
     of it; every other question is searched. ``questions``: query_id, text,
-    user_id, session_id, top_k, candidate_k.
+    user_id, session_id, top_k, candidate_k. ``results`` names a store of earlier results
+    to reuse and add to.
     """
     # Written once: each of these feeds several outputs.
     of_documents = settled(whole_document_sources(questions, chunks, sessions))
     searched = questions.join(of_documents.select("query_id").distinct(), "query_id", "left_anti")
-    sources = settled(
-        of_documents.unionByName(retrieve(searched, chunks, sessions, dim=dim, encoder=encoder, scorer=scorer))
+    options = {"dim": dim, "encoder": encoder, "scorer": scorer}
+    hits = (
+        retrieve(searched, chunks, sessions, **options) if results is None
+        else retrieve_kept(searched, chunks, sessions, results, as_of, **options)
     )
+    sources = settled(of_documents.unionByName(hits))
     found = recalled(questions, memories, as_of, dim=dim, encoder=encoder)
     return sources, prompts(questions, sources, found, user_context), context.no_context(questions, sources)
 
