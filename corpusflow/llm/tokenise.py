@@ -18,7 +18,7 @@ from array import array
 from collections.abc import Iterable
 
 #: Bytes of pieces remembered per process, in two generations of this size each.
-REMEMBERED = 16 << 20
+REMEMBERED = 64 << 20
 # What a piece and its ids take besides their characters and ids: two objects and two places in a dict.
 EACH = 190
 #: Longer pieces are encoded each time.
@@ -56,7 +56,7 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.new, self.old = process_store(f"new-{digest}"), process_store(f"old-{digest}")
-        self.held = sum(map(self._size, self.new.items()))
+        self.held = self._size(self.new)
         rules = json.loads(definition)
         self.added = [t["content"] for t in rules.get("added_tokens") or []]
         plain = all(not (t.get("lstrip") or t.get("rstrip") or t.get("single_word")) for t in rules.get("added_tokens") or [])
@@ -105,20 +105,20 @@ class Encoder:
         return out
 
     @staticmethod
-    def _size(item: tuple[str, bytes]) -> int:
-        return EACH + len(item[0]) + len(item[1])
-
-    def _keep(self, part: str, ids: bytes) -> None:
-        """Remembers a piece; when the newer generation is full it becomes the older one, which goes."""
-        if len(part) > LONGEST:
+    def _size(pieces: dict[str, bytes]) -> int:
+        return EACH * len(pieces) + sum(map(len, pieces)) + sum(map(len, pieces.values()))
+
+    def _keep(self, learnt: dict[str, bytes]) -> None:
+        """Remembers pieces; when the newer generation is full it becomes the older one, which goes."""
+        if max(map(len, learnt)) > LONGEST:
+            learnt = {p: ids for p, ids in learnt.items() if len(p) <= LONGEST}
+        size = self._size(learnt)
+        if size > REMEMBERED:
             return
-        size = self._size((part, ids))
         if self.held + size > REMEMBERED:
-            self.old.clear()
-            self.old.update(self.new)
+            self.new, self.old, self.held = self.old, self.new, 0
             self.new.clear()
-            self.held = 0
-        self.new[part] = ids
+        self.new.update(learnt)
         self.held += size
 
     def _learn(self, missing: set[str]) -> dict[str, bytes]:
@@ -133,8 +133,7 @@ class Encoder:
                 rest.append(part)
         for part, ids in zip(rest, self.whole(rest), strict=True):
             learnt[part] = array("I", ids).tobytes()
-        for item in learnt.items():
-            self._keep(*item)
+        self._keep(learnt)
         return learnt
 
     def _word(self, word: str) -> bytes:

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+from corpusflow.llm import tokenise
+from array import array
 import random
 import zlib
 from pathlib import Path
@@ -96,3 +98,18 @@ def test_empty_table(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert token_files.write_and_read(empty, WORD).count() == 0
     assert token_counts.count_tokens(empty, BYTE, shared_folder(spark, "cache")).count() == 0
+
+
+def test_the_memory_of_pieces_stays_below_its_bound(monkeypatch):
+    """Over two tokenizers, many short and some very long words; ids stay those of whole encoding."""
+    monkeypatch.setattr(tokenise, "REMEMBERED", 200_000)
+    rng = random.Random(5)
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        definition = Path(public_tokenizers.path(name)).read_text(encoding="utf-8")
+        known = tokenise.encoder(definition, f"bounded-{name}")
+        for turn in range(30):
+            text = " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.choice([3, 9, 400 if turn % 5 == 0 else 5]))) for _ in range(300))
+            assert known.encode([text])[0] == array("I", known.whole([text])[0]).tobytes()
+            for held in (known.new, known.old):
+                assert known._size(held) <= 200_000 and max(map(len, held), default=0) <= tokenise.LONGEST
+        assert known.old
