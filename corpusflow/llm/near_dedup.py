@@ -56,8 +56,8 @@ BASE, RATE, TOP = 1.001, 20.0, 65_534
 TURNS, HUBS = 2, 2
 #: Nodes of one band value up to which the remaining pairs are compared as rows.
 FEW = 256
-#: Nodes of one block beyond that: a node's set travels once per block of its band value.
-BLOCK = 2048
+#: Nodes and shingles of one block beyond that, and steps over which such band values are gathered.
+BLOCK, BLOCK_SET, REACH = 2048, 2_000_000, 2
 #: Estimates this far below the threshold are hopeless, or ``DEVIATIONS`` standard deviations of 128 registers.
 MARGIN, DEVIATIONS = 0.2, 5
 _DRAW = np.random.default_rng(8_128).integers(0, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64)
@@ -93,10 +93,20 @@ def likely_jaccard(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarra
     bisected.
     """
     u = n_a / (n_a + n_b)
-    v = 1.0 - u
     more, fewer = (a > b).sum(axis=1), (a < b).sum(axis=1)
-    same = a.shape[1] - more - fewer
+    low, high = np.zeros(len(u)), np.minimum(u / (1 - u), (1 - u) / u)
+    for _ in range(40):
+        j = (low + high) / 2
+        up = _slope(j, u, more, fewer, a.shape[1]) > 0
+        low, high = np.where(up, j, low), np.where(up, high, j)
+    return (low + high) / 2
+
+
+def _slope(j: np.ndarray | float, u: np.ndarray, more: np.ndarray, fewer: np.ndarray, held: int) -> np.ndarray:
+    """Slope of the log likelihood at J = j; the estimate lies above j where it is positive."""
+    v = 1.0 - u
     c = (BASE - 1) / BASE
+    tiny = 1e-12
 
     def p(x: np.ndarray) -> np.ndarray:
         return -np.log1p(-np.clip(x, 0, 1) * c) / np.log(BASE)
@@ -104,18 +114,29 @@ def likely_jaccard(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarra
     def rise(x: np.ndarray) -> np.ndarray:
         return c / (np.log(BASE) * (1 - np.clip(x, 0, 1) * c))
 
-    low, high = np.zeros(len(u)), np.minimum(u / v, v / u)
-    tiny = 1e-12
-    for _ in range(40):
-        j = (low + high) / 2
-        x, y = u - v * j, v - u * j
-        slope = (
-            -more * v * rise(x) / np.maximum(p(x), tiny)
-            - fewer * u * rise(y) / np.maximum(p(y), tiny)
-            + same * (v * rise(x) + u * rise(y)) / np.maximum(1 - p(x) - p(y), tiny)
+    x, y = u - v * j, v - u * j
+    more, fewer = more.astype(float), fewer.astype(float)
+    return (
+        -more * v * rise(x) / np.maximum(p(x), tiny)
+        - fewer * u * rise(y) / np.maximum(p(y), tiny)
+        + (held - more - fewer) * (v * rise(x) + u * rise(y)) / np.maximum(1 - p(x) - p(y), tiny)
+    )
+
+
+def hopeful(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, percent: int) -> np.ndarray:
+    """Of all rows of ``a`` against all rows of ``b``: whether the estimate is not hopeless."""
+    found = np.zeros((len(a), len(b)), bool)
+    for at in range(0, len(a), 256):
+        part, size = a[at : at + 256], n_a[at : at + 256, None].astype(float)
+        more, fewer = (np.zeros((len(part), len(b)), np.uint8) for _ in range(2))
+        for place in range(a.shape[1]):
+            more += part[:, place, None] > b[None, :, place]
+            fewer += part[:, place, None] < b[None, :, place]
+        near = 100 * np.minimum(size, n_b) >= percent * np.maximum(size, n_b)
+        found[at : at + 256] = near & (
+            _slope(percent / 100 - margin(percent), size / (size + n_b), more, fewer, a.shape[1]) >= 0
         )
-        low, high = np.where(slope > 0, j, low), np.where(slope > 0, high, j)
-    return (low + high) / 2
+    return found
 
 
 def _shingle_set(data: bytes | None, words: int) -> np.ndarray:
@@ -250,49 +271,88 @@ def _stars(members: DataFrame, turn: int) -> DataFrame:
     return best.select(*_ordered("node", "hub")).distinct()
 
 
-def _by_blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _crowds(members: DataFrame) -> DataFrame:
+    """Band values with very many nodes, gathered under one crowd where they share nodes: distinct (crowd, node, label).
+
+    A crowd is named by the least hash of the nodes its values reach in ``REACH``
+    steps. Any grouping of values is right, since all nodes of a value stay together;
+    a good one lets a node that holds many of the values take part once. There is
+    one value per ``FEW`` rows at most.
+    """
+    key = ["band", "value"]
+    named = members.select(*key, "node", F.xxhash64("node").alias("crowd"))
+    for _ in range(REACH):
+        of_value = settled(named.groupBy(*key).agg(F.min("crowd").alias("crowd")))
+        of_node = join_checked(members, of_value, key).groupBy("node").agg(F.min("crowd").alias("crowd"))
+        named = members.select(*key, "node").join(of_node, "node")
+    of_value = settled(named.groupBy(*key).agg(F.min("crowd").alias("crowd")))
+    return join_checked(members, of_value, key).select("crowd", "node", "label").distinct()
+
+
+def _by_blocks(members: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between components inside band values with very many nodes.
 
-    Nodes are dealt to blocks of about ``BLOCK``; every two blocks of a band value meet
-    in one task, which counts all shared shingles by matrix products and returns
-    one link per pair of components at most. All pairs are compared exactly, but
-    no row is made for a pair.
+    The values are gathered to crowds, the nodes of a crowd dealt to blocks of about
+    ``BLOCK`` nodes and ``BLOCK_SET`` shingles; every two blocks of a crowd meet in one
+    task. There the registers of all pairs are estimated, what is not hopeless is
+    confirmed on the full sets by matrix products, and one link per pair of components
+    at most is returned. No pair is left out and no row is made for a pair; a set
+    travels once per block of its crowd, however many band values it shares.
     """
+    width = 2 * band_rows(percent)
 
     def meet(rows: pd.DataFrame) -> pd.DataFrame:
         sizes = rows["s"].map(len).to_numpy()
-        flat = np.concatenate([np.asarray(x, np.int64) for x in rows["s"]])
-        kinds, code = np.unique(flat, return_inverse=True)
-        row = np.repeat(np.arange(len(rows)), sizes)
-        often = np.bincount(code, minlength=len(kinds)) > 1  # a shingle of one node is shared with none
-        place = np.cumsum(often) - 1
-        held = often[code]
-        row, code = row[held], place[code[held]]
-        left = (rows["own"] == rows["lo"]).to_numpy()
-        right = (rows["own"] == rows["hi"]).to_numpy()
-        shared = np.zeros((left.sum(), right.sum()), np.float32)
-        for first in range(0, int(often.sum()), 2048):
-            part = np.zeros((len(rows), 2048), np.float32)
-            here = (code >= first) & (code < first + 2048)
-            part[row[here], code[here] - first] = 1
-            shared += part[left] @ part[right].T
-        every = sizes[left][:, None] + sizes[right][None, :] - shared
         _, label = np.unique(rows["label"].to_numpy(), return_inverse=True)
-        a, b = np.nonzero((100 * shared >= percent * every) & (label[left][:, None] != label[right][None, :]))
+        left = np.flatnonzero((rows["own"] == rows["lo"]).to_numpy())
+        right = np.flatnonzero((rows["own"] == rows["hi"]).to_numpy())
+        held = np.stack(list(rows["bands"])).astype(f"<i{width}").view("<u2").reshape(len(rows), -1)
+        open_ = hopeful(held[left], held[right], sizes[left], sizes[right], percent)
+        open_ &= label[left][:, None] != label[right][None, :]
+        one, two = open_.any(axis=1), open_.any(axis=0)
+        left, right, open_ = left[one], right[two], open_[np.ix_(one, two)]
+        linked = _alike(rows["s"], left, right, sizes, percent) & open_
+        a, b = np.nonzero(linked)
         one, two = label[left][a].astype(np.int64), label[right][b].astype(np.int64)
-        _, first = np.unique(np.minimum(one, two) * (label.max() + 1) + np.maximum(one, two), return_index=True)
+        _, first = np.unique(np.minimum(one, two) * (len(rows) + 1) + np.maximum(one, two), return_index=True)
         node = rows["node"].to_numpy()
-        u, v = node[left][a[first]], node[right][b[first]]
+        u, v = node[left[a[first]]], node[right[b[first]]]
         return pd.DataFrame({"u": np.maximum(u, v), "v": np.minimum(u, v)}, dtype=object)
 
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")).cast("int")
+    placed = settled(_crowds(members).join(nodes.select("node", "n_shingles"), "node"))
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n_shingles") / BLOCK_SET)).cast("int")
     dealt = (
-        members.withColumn("blocks", blocks).withColumn("own", own)
+        join_checked(placed, settled(placed.groupBy("crowd").agg(blocks.alias("blocks"))), "crowd")
+        .withColumn("own", F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("band", "value", "node", "label", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+        .select("crowd", "node", "label", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
     )
-    return dealt.join(sets, "node").groupBy("band", "value", "lo", "hi").applyInPandas(meet, "u binary, v binary")
+    whole = sets.join(nodes.select("node", "bands"), "node")
+    return dealt.join(whole, "node").groupBy("crowd", "lo", "hi").applyInPandas(meet, "u binary, v binary")
+
+
+def _alike(sets: pd.Series, left: np.ndarray, right: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Of all pairs of the rows at ``left`` and ``right``: whether the full sets reach the threshold."""
+    shared = np.zeros((len(left), len(right)), np.float32)
+    rows = np.union1d(left, right)
+    if not len(rows):
+        return shared > 0
+    flat = np.concatenate([np.asarray(sets.iloc[at], np.int64) for at in rows])
+    kinds, code = np.unique(flat, return_inverse=True)
+    row = np.repeat(np.arange(len(rows)), sizes[rows])
+    often = np.bincount(code, minlength=len(kinds)) > 1  # a shingle of one node is shared with none
+    place = np.cumsum(often) - 1
+    row, code = row[often[code]], place[code[often[code]]]
+    order = np.argsort(code, kind="stable")
+    row, code = row[order], code[order]
+    at_left, at_right = np.searchsorted(rows, left), np.searchsorted(rows, right)
+    for first in range(0, int(often.sum()), 2048):
+        low, high = np.searchsorted(code, [first, first + 2048])
+        part = np.zeros((len(rows), 2048), np.float32)
+        part[row[low:high], code[low:high] - first] = 1
+        shared += part[at_left] @ part[at_right].T
+    every = sizes[left][:, None] + sizes[right][None, :] - shared
+    return 100 * shared >= percent * every
 
 
 def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80) -> DataFrame:
@@ -348,7 +408,8 @@ def _placed(docs: DataFrame, words: int, percent: int) -> DataFrame:
         .select(*_ordered("x.node", "y.node"))
     )
     one_by_one = _confirmed(_likely(across, nodes, percent), sets, percent)
-    more = settled(one_by_one.unionAll(_by_blocks(rest.filter(F.col("n") > FEW), sets, percent)))
+    many = rest.filter(F.col("n") > FEW).select("band", "value", "node", "label")
+    more = settled(one_by_one.unionAll(_by_blocks(many, nodes, sets, percent)))
     if not more.isEmpty():
         labels = components(links.unionAll(more))
 

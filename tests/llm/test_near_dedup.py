@@ -103,6 +103,41 @@ def test_unlinked_look_alikes_are_compared_in_rows_and_in_blocks(spark, monkeypa
     check(spark, rows, 2)
 
 
+def test_blocks_are_also_bounded_by_shingles(spark, monkeypatch):
+    rng = random.Random(10)
+    base = prose(rng, 80, 5000)
+    rows = [(k, near(rng, base, rng.randint(3, 9)), None, None, None, 0, "", "", "") for k in range(50)]
+    rows += [(500 + k, prose(rng, 900, 5000), None, None, None, 0, "", "", "") for k in range(2)]
+    monkeypatch.setattr(nd, "FEW", 5)
+    monkeypatch.setattr(nd, "BLOCK_SET", 900)
+    check(spark, rows, 2)
+
+
+def test_hopeful_pairs_are_those_of_the_estimate():
+    rng = np.random.default_rng(11)
+    base = rng.integers(0, 2**63, 150, dtype=np.uint64)
+    held = [np.concatenate([base[: 150 - cut], rng.integers(0, 2**63, cut + k, dtype=np.uint64)]) for k, cut in enumerate(range(0, 80, 5))]
+    regs, sizes = np.stack([nd.sketch(x) for x in held]), np.array([len(x) for x in held])
+    got = nd.hopeful(regs, regs, sizes, sizes, 80)
+    for i in range(len(held)):
+        for j in range(len(held)):
+            value = nd.likely_jaccard(regs[[i]], regs[[j]], sizes[[i]].astype(float), sizes[[j]].astype(float))[0]
+            near_sizes = 100 * min(sizes[i], sizes[j]) >= 80 * max(sizes[i], sizes[j])
+            if abs(value - (0.8 - nd.margin(80))) > 1e-6:
+                assert got[i, j] == (near_sizes and value > 0.8 - nd.margin(80))
+
+
+def test_values_that_share_nodes_are_one_crowd(spark):
+    rows = [(b, v, f"{g}-{k}".encode(), f"{g}-{k}".encode()) for g in "ab" for b in range(4) for k in range(20) for v in [10 * (g == "b") + (k % (b + 1) == 0)]]
+    members = spark.createDataFrame(rows, "band int, value long, node binary, label binary")
+    crowds = nd._crowds(members).collect()
+    assert len(crowds) == 40
+    of = {}
+    for r in crowds:
+        of.setdefault(bytes(r["node"])[:1], set()).add(r["crowd"])
+    assert {len(x) for x in of.values()} == {1} and of[b"a"] != of[b"b"]
+
+
 def test_one_of_each_group_stays(spark):
     rows = awkward(random.Random(4))
     df = table(spark, rows)
