@@ -54,6 +54,8 @@ MISS = 1e-6
 BASE, RATE, TOP = 1.001, 20.0, 65_534
 #: Turns of stars, and hubs per node and turn, before the remaining pairs are compared.
 TURNS, HUBS = 2, 2
+#: Rounds of joining stars between the turns.
+ROUNDS = 2
 #: Nodes of one band value up to which the remaining pairs are compared as rows.
 FEW = 256
 #: Nodes and shingles of one block beyond that, and steps over which such band values are gathered.
@@ -249,7 +251,7 @@ def _mixed(held: DataFrame, labels: DataFrame | None) -> DataFrame:
     """Members with their components' labels, of the band values that hold different components."""
     if labels is None:
         return held.withColumn("label", F.col("node"))
-    named = labels.select(F.col("u").alias("node"), F.col("v").alias("l"))
+    named = labels.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("l"))
     placed = held.join(named, "node", "left").select("band", "value", "n", "node", F.coalesce("l", "node").alias("label"))
     ends = placed.groupBy("band", "value").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
     return placed.join(ends.filter("lo <> hi").select("band", "value"), ["band", "value"])
@@ -383,12 +385,12 @@ def _placed(docs: DataFrame, words: int, percent: int) -> DataFrame:
     held = settled(members.join(shared, ["band", "value"]))
     sets = _full_sets(held.select("node").distinct(), nodes, docs, words)
 
-    links, labels = None, None
+    labels = None
     for turn in range(TURNS):
         stars = _stars(_mixed(held, labels), turn)
         new = settled(_confirmed(_likely(stars, nodes, percent), sets, percent))
-        links = new if links is None else links.unionAll(new)
-        labels = components(links)
+        # Stars not yet joined only cost comparisons; the last call below joins all of them.
+        labels = components(new if labels is None else labels.unionAll(new), ROUNDS)
 
     rest = settled(
         _mixed(held, labels).join(nodes.select("node", "bands", "n_shingles"), "node")
@@ -410,8 +412,7 @@ def _placed(docs: DataFrame, words: int, percent: int) -> DataFrame:
     one_by_one = _confirmed(_likely(across, nodes, percent), sets, percent)
     many = rest.filter(F.col("n") > FEW).select("band", "value", "node", "label")
     more = settled(one_by_one.unionAll(_by_blocks(many, nodes, sets, percent)))
-    if not more.isEmpty():
-        labels = components(links.unionAll(more))
+    labels = components(labels.unionAll(more))
 
     named = nodes.select("node", "rep.doc_id").join(
         labels.select(F.col("u").alias("node"), F.col("v").alias("label")), "node", "left"
