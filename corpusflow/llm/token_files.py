@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from corpusflow.llm.common import partitions, shared_folder
 from corpusflow.llm.elias_fano import EliasFano
-from corpusflow.llm.tokenise import encoder
+from corpusflow.llm.tokenise import encoder, forget
 
 MAGIC = int.from_bytes(b"EFTOKENS", "little")
 VERSION = 1
@@ -100,8 +100,13 @@ def write(
     folder: str | None = None,
     end_id: int = 1,
     files: int | None = None,
+    remembered: int | None = None,
 ) -> tuple[str, str]:
-    """Writes the ids of all documents; returns the folders of files and manifest."""
+    """Writes the ids of all documents; returns the folders of files and manifest.
+
+    With ``remembered``, bytes of pieces a generation, a task also drops its pieces when it ends: for workers that
+    carry the memory of other stages.
+    """
     spark = docs.sparkSession
     definition = Path(tokenizer_path).read_text(encoding="utf-8")
     digest = hashlib.sha256(definition.encode()).hexdigest()
@@ -114,7 +119,7 @@ def write(
     def write_file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId()
         path = f"{folder}/files/shard-{shard:06d}-{uuid.uuid4().hex}.tok"
-        known, out, system = encoder(shipped.value, digest), None, None
+        known, out, system = encoder(shipped.value, digest, remembered), None, None
         counts, keys, nulls = [], [], 0
         for batch in batches:
             if out is None:
@@ -139,6 +144,8 @@ def write(
         footer = [len(counts), int(ends[-1]), width, nulls, code.width, len(low), len(high), len(sample), VERSION, MAGIC]
         out.write(np.array(footer, "<u8").tobytes())
         out.close()
+        if remembered is not None:
+            forget()
         yield pa.RecordBatch.from_pydict(
             {
                 "shard": pa.array([shard], pa.int32()),

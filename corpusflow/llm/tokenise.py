@@ -10,6 +10,8 @@ whole encoding is tested.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import json
 import os
 import re
@@ -17,6 +19,8 @@ import sys
 from array import array
 from collections.abc import Iterable
 
+import pyarrow as pa
+
 #: Bytes of pieces remembered per process, in two generations of this size each.
 REMEMBERED = 64 << 20
 # What a piece and its ids take besides their characters and ids: two objects and two places in a dict.
@@ -47,7 +51,7 @@ def process_store(name: str) -> dict:
 class Encoder:
     """Token ids of whole texts as the tokenizer gives them, without special tokens added."""
 
-    def __init__(self, definition: str, digest: str) -> None:
+    def __init__(self, definition: str, digest: str, remembered: int | None = None) -> None:
         # Tasks are the parallelism; threads inside one would wait for each other.
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -57,6 +61,7 @@ class Encoder:
         self.tokenizer.no_padding()
         self.new, self.old = process_store(f"new-{digest}"), process_store(f"old-{digest}")
         self.held = self._size(self.new)
+        self.remembered = REMEMBERED if remembered is None else remembered
         rules = json.loads(definition)
         self.added = [t["content"] for t in rules.get("added_tokens") or []]
         plain = all(not (t.get("lstrip") or t.get("rstrip") or t.get("single_word")) for t in rules.get("added_tokens") or [])
@@ -113,9 +118,9 @@ class Encoder:
         if max(map(len, learnt)) > LONGEST:
             learnt = {p: ids for p, ids in learnt.items() if len(p) <= LONGEST}
         size = self._size(learnt)
-        if size > REMEMBERED:
+        if size > self.remembered:
             return
-        if self.held + size > REMEMBERED:
+        if self.held + size > self.remembered:
             self.new, self.old, self.held = self.old, self.new, 0
             self.new.clear()
         self.new.update(learnt)
@@ -156,12 +161,22 @@ class Encoder:
         return self.tails[tail]
 
 
-def encoder(definition: str, digest: str) -> Encoder:
-    """One encoder per process and tokenizer."""
+def encoder(definition: str, digest: str, remembered: int | None = None) -> Encoder:
+    """One encoder per process and tokenizer; ``remembered`` bytes of pieces a generation, the module's bound by default."""
     held = process_store("encoders")
-    if digest not in held:
-        # What another tokenizer left behind goes with it.
+    if digest not in held or remembered not in (None, held[digest].remembered):
+        # What another tokenizer, or another bound, left behind goes with it.
         sys.__dict__["_corpusflow_store"] = {"encoders": held}
         held.clear()
-        held[digest] = Encoder(definition, digest)
+        held[digest] = Encoder(definition, digest, remembered)
     return held[digest]
+
+
+def forget() -> None:
+    """Drops encoders and pieces of this process and hands freed memory back to the machine."""
+    sys.__dict__.pop("_corpusflow_store", None)
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)

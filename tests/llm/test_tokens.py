@@ -113,3 +113,19 @@ def test_the_memory_of_pieces_stays_below_its_bound(monkeypatch):
             for held in (known.new, known.old):
                 assert known._size(held) <= 200_000 and max(map(len, held), default=0) <= tokenise.LONGEST
         assert known.old
+
+
+def test_a_stage_bounds_its_pieces_and_drops_them(spark, tmp_path):
+    """A bound of the caller's holds, what is forgotten is learnt anew, and the files stay the same."""
+    definition = Path(public_tokenizers.path("word_bpe_49k.json")).read_text(encoding="utf-8")
+    known = tokenise.encoder(definition, "own-bound", 5_000)
+    text = " ".join(f"word{i}" for i in range(2_000))
+    before = known.encode([text])[0]
+    assert known.remembered == 5_000 and known._size(known.new) <= 5_000
+    assert tokenise.encoder(definition, "own-bound") is known and tokenise.encoder(definition, "own-bound", 9_000) is not known
+    tokenise.forget()
+    again = tokenise.encoder(definition, "own-bound", 5_000)
+    assert again is not known and not again.new and again.encode([text])[0] == before
+    docs = spark.createDataFrame([(i, f"word{i % 7} " * (i % 50)) for i in range(300)], "doc_id bigint, text string")
+    plain, bounded = token_files.write_and_read(docs, WORD), token_files.write_and_read(docs, WORD, remembered=2_000)
+    assert sorted(plain.collect()) == sorted(bounded.collect())
