@@ -35,7 +35,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return token_files.write_and_read(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return token_files.write_and_read(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1, remembered=16 << 20)
 
 
 STAGES = [
