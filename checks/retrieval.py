@@ -383,36 +383,73 @@ _ASKED = """
   SELECT *, least(50, greatest(1, coalesce(top_k, 8))) AS tk, greatest(least(50, greatest(1, coalesce(top_k, 8))), coalesce(candidate_k, 32)) AS ck FROM questions"""
 
 
-@query(
-    "R10_R14_retrieve",
-    ctes(f"""WITH limits AS MATERIALIZED ({_ASKED}),
+def _retrieved(choices: bool) -> str:
+    """Source rows with each question's limits and scope; with ``choices`` its mode and its rerank switch count too."""
+    sides = ("q.mode <> 'lexical' AND ", "q.mode <> 'vector' AND ") if choices else ("", "")
+    order = "CASE q.mode WHEN 'vector' THEN vector_score WHEN 'lexical' THEN lexical_score ELSE rrf_score END" if choices else "rrf_score"
+    score = "CASE WHEN q.mode = 'hybrid' THEN rrf_score ELSE 0.0::DOUBLE END" if choices else "rrf_score"
+    switch = " AND h.query_id % 3 <> 1" if choices else ""
+    return f"""WITH limits AS MATERIALIZED ({_ASKED}),
       seen AS MATERIALIZED (
-        SELECT s.query_id, s.chunk_id, s.sim, NULL::DOUBLE AS lexical, row_number() OVER (PARTITION BY s.query_id ORDER BY s.sim DESC, s.chunk_id) AS r, q.ck
-        FROM sims s JOIN limits q USING (query_id) JOIN owned c USING (chunk_id) WHERE {_VISIBLE} QUALIFY r <= q.ck
+        SELECT s.query_id, s.chunk_id, s.sim, NULL::DOUBLE AS lexical, row_number() OVER (PARTITION BY s.query_id ORDER BY s.sim DESC, s.chunk_id) AS r
+        FROM sims s JOIN limits q USING (query_id) JOIN owned c USING (chunk_id) WHERE {sides[0]}{_VISIBLE} QUALIFY r <= any_value(q.ck) OVER (PARTITION BY s.query_id)
         UNION ALL
-        SELECT s.query_id, s.chunk_id, NULL, s.lexical, row_number() OVER (PARTITION BY s.query_id ORDER BY s.lexical DESC, s.chunk_id) AS r, q.ck
-        FROM lexical s JOIN limits q USING (query_id) JOIN owned c USING (chunk_id) WHERE {_VISIBLE} QUALIFY r <= q.ck),
+        SELECT s.query_id, s.chunk_id, NULL, s.lexical, row_number() OVER (PARTITION BY s.query_id ORDER BY s.lexical DESC, s.chunk_id) AS r
+        FROM lexical s JOIN limits q USING (query_id) JOIN owned c USING (chunk_id) WHERE {sides[1]}{_VISIBLE} QUALIFY r <= any_value(q.ck) OVER (PARTITION BY s.query_id)),
       joined AS MATERIALIZED (
         SELECT query_id, chunk_id, coalesce(max(sim), 0.0::DOUBLE) AS vector_score, coalesce(max(lexical), 0.0::DOUBLE) AS lexical_score,
-               round(sum(1.0::DOUBLE / (60 + r)), 10) AS rrf_score, any_value(ck) AS ck FROM seen GROUP BY query_id, chunk_id),
+               round(sum(1.0::DOUBLE / (60 + r)), 10) AS rrf_score FROM seen GROUP BY query_id, chunk_id),
       best AS MATERIALIZED (
-        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, chunk_id) AS rnk FROM joined QUALIFY rnk <= ck)
+        SELECT j.query_id, j.chunk_id, vector_score, lexical_score, {score} AS rrf_score, q.tk,
+               row_number() OVER (PARTITION BY j.query_id ORDER BY {order} DESC, j.chunk_id) AS rnk
+        FROM joined j JOIN limits q USING (query_id) QUALIFY rnk <= any_value(q.ck) OVER (PARTITION BY j.query_id))
       SELECT query_id, 'S' || position AS sid, chunk_id AS id, nullif(rerank_score, 0) AS rerank_score, vector_score, lexical_score, rrf_score FROM (
         SELECT b.*, row_number() OVER (PARTITION BY b.query_id ORDER BY rerank_score DESC NULLS LAST, b.rnk) AS position FROM (
-          SELECT h.*, q.tk, CASE WHEN count(*) OVER (PARTITION BY h.query_id) > 1 THEN
+          SELECT h.*, CASE WHEN count(*) OVER (PARTITION BY h.query_id) > 1{switch} THEN
               CASE WHEN len(w.terms) = 0 THEN 0.0::DOUBLE ELSE round(len(list_intersect(w.terms, k.toks)) / len(w.terms)::DOUBLE, 6) END END AS rerank_score
-          FROM best h JOIN limits q USING (query_id) JOIN query_words w USING (query_id) JOIN chunk_words k USING (chunk_id)) b
-        QUALIFY position <= b.tk)"""),
-)
+          FROM best h JOIN query_words w USING (query_id) JOIN chunk_words k USING (chunk_id)) b
+        QUALIFY position <= b.tk)"""
+
+
+_SOURCES = ["query_id", "sid", "id", "rerank_score", "vector_score", "lexical_score", "rrf_score"]
+
+
+@query("R10_R14_retrieve", ctes(_retrieved(choices=False)))
 def retrieve(spark, d):
     """The whole way from questions to source rows, with each question's own limits and scope."""
     from corpusflow.plans import answer
 
     chunks = derive.search_chunks(spark, d)
-    sources = answer.retrieve(derive.questions(spark, d), chunks, derive.sessions(spark, d))
-    return flat(
-        sources.select("query_id", "sid", "id", "rerank_score", "vector_score", "lexical_score", "rrf_score")
-    )
+    return flat(answer.retrieve(derive.questions(spark, d), chunks, derive.sessions(spark, d)).select(*_SOURCES))
+
+
+def _choosing(spark, d):
+    """Questions of all modes, a third of them without rerank."""
+    return derive.questions(spark, d).withColumn("rerank", F.col("query_id") % 3 != 1)
+
+
+@query("R11_R13_choices", ctes(_retrieved(choices=True)))
+def own_choices(spark, d):
+    """The whole way again, each question with its own mode and rerank switch."""
+    from corpusflow.plans import answer
+
+    found = answer.retrieve(_choosing(spark, d), derive.search_chunks(spark, d), derive.sessions(spark, d), choices=True)
+    return flat(found.select(*_SOURCES))
+
+
+@query("R11_R13_choices_stored", ctes(_retrieved(choices=True)))
+def own_choices_stored(spark, d):
+    """The same from the stored index, looking into every cell."""
+    from corpusflow.plans import answer
+    from corpusflow.session import settled
+
+    path, sessions = fresh_dir(spark, "served"), derive.sessions(spark, d)
+    chunks = settled(derive.search_chunks(spark, d))
+    centres = index.mean_centres(chunks.withColumn("language", F.col("metadata.language")), "language")
+    index.build_cells(filters.with_owner(chunks, sessions), path, centres)
+    index.build_postings_store(chunks, path, parts=16)
+    served = answer.Served(path, probes=len(centres.centres), parts=16)
+    return flat(answer.retrieve(_choosing(spark, d), chunks, sessions, choices=True, served=served).select(*_SOURCES))
 
 
 @query("R17_kept_results", SQL["R10_R14_retrieve"])

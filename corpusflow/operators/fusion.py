@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -94,6 +95,37 @@ def vector_hits(queries: DataFrame, chunks: DataFrame, k: int | str, *, filters:
     return vector.knn(queries, items, k, filters=filters, scope=scope)
 
 
+def choose(
+    near: DataFrame, worded: DataFrame, queries: DataFrame, candidate_k: int | str = CANDIDATE_K, rrf_k: int = RRF_K, *, modes: bool = False
+) -> DataFrame:
+    """Both lists fused, best ``candidate_k`` (a number or a query column) per query.
+
+    With ``modes`` the query's ``mode`` decides which score orders its rows.
+    """
+    ranked, order, limit = fuse(near, worded, rrf_k), "rrf_score", candidate_k
+    asked = ["mode"] if modes else []
+    if isinstance(candidate_k, str):
+        asked, limit = [*asked, F.col(candidate_k).alias("__k")], F.col("__k")
+    if asked:
+        ranked = join_checked(ranked, queries.select("query_id", *asked), "query_id")
+    if modes:
+        chosen = (
+            F.when(F.col("mode") == "vector", F.col("vector_score"))
+            .when(F.col("mode") == "lexical", F.col("lexical_score"))
+            .otherwise(F.col("rrf_score"))
+        )
+        only_hybrid = F.when(F.col("mode") == "hybrid", F.col("rrf_score")).otherwise(F.lit(0.0))
+        ranked, order = ranked.withColumn("__order", chosen).withColumn("rrf_score", only_hybrid), "__order"
+    return top_per_group(ranked, ["query_id"], [F.col(order).desc(), F.col("chunk_id")], limit).drop("__k", "__order")
+
+
+def _attached(best: DataFrame, queries: DataFrame, chunks: DataFrame, candidate_k: int | str, columns: list[str] | None) -> DataFrame:
+    if not columns:
+        return best
+    most = candidate_k if isinstance(candidate_k, int) else largest(queries, candidate_k)
+    return attach_chunks(best, chunks, columns, fits=fits_broadcast(queries, rows_each=most, limit=BROADCAST_ROWS))
+
+
 def hybrid_search(
     queries: DataFrame,
     chunks: DataFrame,
@@ -114,29 +146,19 @@ def hybrid_search(
     queries = _worded(queries)
     near = vector_hits(queries, chunks, candidate_k, filters=filters, scope=scope)
     worded = lexical.lexical_search(queries, chunks, candidate_k, stats=stats, filters=filters, scope=scope)
-    fused, limit = fuse(near, worded, rrf_k), candidate_k
-    if isinstance(candidate_k, str):
-        fused = join_checked(fused, queries.select("query_id", F.col(candidate_k).alias("__k")), "query_id")
-        limit = F.col("__k")
-    best = top_per_group(
-        fused, ["query_id"], [F.col("rrf_score").desc(), F.col("chunk_id")], limit
-    ).drop("__k")
-    if not columns:
-        return best
-    most = candidate_k if isinstance(candidate_k, int) else largest(queries, candidate_k)
-    fits = fits_broadcast(queries, rows_each=most, limit=BROADCAST_ROWS)
-    return attach_chunks(best, chunks, columns, fits=fits)
+    return _attached(choose(near, worded, queries, candidate_k, rrf_k), queries, chunks, candidate_k, columns)
 
 
 def search(
     queries: DataFrame,
     chunks: DataFrame,
-    candidate_k: int = CANDIDATE_K,
+    candidate_k: int | str = CANDIDATE_K,
     rrf_k: int = RRF_K,
     *,
     stats: DataFrame | None = None,
     filters: bool = False,
     scope: bool = False,
+    columns: list[str] | None = None,
 ) -> DataFrame:
     """A batch whose rows choose ``mode`` hybrid, vector or lexical.
 
@@ -144,24 +166,14 @@ def search(
     which score orders a query's rows.
     """
     queries = _worded(queries)
-    modes = queries.select("query_id", "mode")
     near = vector_hits(
         queries.filter(F.col("mode") != "lexical"), chunks, candidate_k, filters=filters, scope=scope
     )
     worded = lexical.lexical_search(
         queries.filter(F.col("mode") != "vector"), chunks, candidate_k, stats=stats, filters=filters, scope=scope
     )
-    fused = join_checked(fuse(near, worded, rrf_k), modes, "query_id")
-    chosen = (
-        F.when(F.col("mode") == "vector", F.col("vector_score"))
-        .when(F.col("mode") == "lexical", F.col("lexical_score"))
-        .otherwise(F.col("rrf_score"))
-    )
-    only_hybrid = F.when(F.col("mode") == "hybrid", F.col("rrf_score")).otherwise(F.lit(0.0))
-    ranked = fused.withColumn("__order", chosen).withColumn("rrf_score", only_hybrid)
-    return top_per_group(
-        ranked, ["query_id"], [F.col("__order").desc(), F.col("chunk_id")], candidate_k
-    ).drop("__order")
+    best = choose(near, worded, queries, candidate_k, rrf_k, modes=True)
+    return _attached(best, queries, chunks, candidate_k, columns)
 
 
 def search_status(queries: DataFrame, hits: DataFrame) -> DataFrame:
@@ -194,26 +206,33 @@ def overlap_score(query: Column, content: Column) -> Column:
     return F.when(F.size(wanted) == 0, F.lit(0.0)).otherwise(F.round(found / F.size(wanted), DIGITS))
 
 
-def model_score(query: Column, content: Column, scorer: PairScorer, batch_size: int = 64) -> Column:
-    """Any pair scorer; a batch it fails on gets null scores."""
+def model_score(query: Column, content: Column, scorer: PairScorer, batch_size: int = 64, *, wanted: Column | None = None) -> Column:
+    """Any pair scorer: a struct of ``score`` and ``failed``.
+
+    Only ``wanted`` pairs reach the scorer. A batch it fails on gets null scores and is counted by ``failed`` = 1 on its
+    first pair.
+    """
 
-    @F.pandas_udf("double")
-    def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for asked, texts in batches:
-            out: list[float | None] = []
-            for start in range(0, len(asked), batch_size):
-                left = [(t or "").strip() or " " for t in asked[start : start + batch_size]]
-                right = [(t or "").strip() or " " for t in texts[start : start + batch_size]]
+    @F.pandas_udf("score double, failed int")
+    def score(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for asked, texts, use in batches:
+            out = pd.DataFrame({"score": np.nan, "failed": 0}, index=range(len(asked)))
+            rows = np.flatnonzero(use.to_numpy(dtype=bool))
+            for start in range(0, len(rows), batch_size):
+                part = rows[start : start + batch_size]
+                left = [(t or "").strip() or " " for t in asked.iloc[part]]
+                right = [(t or "").strip() or " " for t in texts.iloc[part]]
                 try:
-                    got: list[float | None] = [float(s) for s in scorer(left, right)]
+                    got = [float(s) for s in scorer(left, right)]
                     if len(got) != len(left):
                         raise ValueError("one score per pair expected")
+                    out.loc[part, "score"] = got
                 except Exception:
-                    got = [None] * len(left)
-                out.extend(got)
-            yield pd.Series(out, dtype="float64")
+                    out.loc[part[0], "failed"] = 1
+            out["score"] = out["score"].astype(object).where(out["score"].notna(), None)
+            yield out
 
-    return score(query, content)
+    return score(query, content, F.lit(True) if wanted is None else wanted)
 
 
 def rerank(
@@ -223,29 +242,39 @@ def rerank(
     *,
     query: str = "text",
     content: str = "content",
+    wanted: str | None = None,
+    failures: Observation | None = None,
 ) -> DataFrame:
     """Order candidates by a pair score and keep the best ``k`` per query.
 
-    A query with one candidate, or with a failed score, keeps its earlier order
-    (``rank``) and has no rerank score.
+    A query with one candidate, with a failed score, or whose ``wanted`` column is false keeps its earlier order
+    (``rank``) and has no rerank score; null means wanted. Only pairs that can be ordered anew reach the scorer.
+    ``failures`` observes failed_batches and failed_pairs of a scorer, known once the result has been computed.
     """
-    score = (
-        overlap_score(F.col(query), F.col(content))
-        if scorer is None
-        else model_score(F.col(query), F.col(content), scorer)
-    )
     per_query = W.partitionBy("query_id")
-    scored = candidates.withColumn("__score", score)
-    usable = (F.count(F.lit(1)).over(per_query) > 1) & (
-        F.count("__score").over(per_query) == F.count(F.lit(1)).over(per_query)
-    )
-    judged = scored.withColumn("reranked", usable).withColumn(
+    several = F.count(F.lit(1)).over(per_query) > 1
+    switch = F.lit(True) if wanted is None else F.coalesce(F.col(wanted), F.lit(True))
+    asked = candidates.withColumn("__asked", several & switch)
+    if scorer is None:
+        scored = asked.withColumn("__score", F.when(F.col("__asked"), overlap_score(F.col(query), F.col(content))))
+    else:
+        got = model_score(F.col(query), F.col(content), scorer, wanted=F.col("__asked"))
+        scored = asked.withColumn("__got", got).withColumn("__score", F.col("__got.score"))
+        if failures is not None:
+            scored = scored.observe(
+                failures,
+                F.coalesce(F.sum("__got.failed"), F.lit(0)).alias("failed_batches"),
+                F.count_if(F.col("__asked") & F.col("__score").isNull()).alias("failed_pairs"),
+            )
+        scored = scored.drop("__got")
+    whole = F.count("__score").over(per_query) == F.count(F.lit(1)).over(per_query)
+    judged = scored.withColumn("reranked", F.col("__asked") & whole).withColumn(
         "rerank_score", F.when(F.col("reranked"), F.col("__score"))
     )
     limit = F.col(k) if isinstance(k, str) else k
     order = [F.col("rerank_score").desc_nulls_last(), F.col("rank")]
     ordered = judged.withColumn("position", F.row_number().over(per_query.orderBy(*order)))
-    return ordered.filter(F.col("position") <= limit).drop("__score")
+    return ordered.filter(F.col("position") <= limit).drop("__score", "__asked")
 
 
 def _nonzero(col: Column) -> Column:

@@ -204,11 +204,12 @@ def lexical_stored(
 
 
 def hybrid_stored(
-    spark: SparkSession, path: str, queries: DataFrame, candidate_k: int = fusion.CANDIDATE_K, *, probes: int, rrf_k: int = fusion.RRF_K,
-    chunks: DataFrame | None = None, filters: bool = False, scope: bool = False, parts: int = PARTS,
+    spark: SparkSession, path: str, queries: DataFrame, candidate_k: int | str = fusion.CANDIDATE_K, *, probes: int, rrf_k: int = fusion.RRF_K,
+    chunks: DataFrame | None = None, filters: bool = False, scope: bool = False, parts: int = PARTS, modes: bool = False,
 ) -> DataFrame:
-    """Both stored searches fused, best ``candidate_k`` per query."""
+    """Both stored searches fused, best ``candidate_k`` per query; with ``modes`` each query's ``mode`` chooses its side."""
     asked = fusion._worded(queries)
-    near = knn_stored(spark, path, asked, candidate_k, probes=probes, filters=filters, scope=scope)
-    worded = lexical_stored(spark, path, asked, candidate_k, chunks=chunks, filters=filters, scope=scope, parts=parts)
-    return top_per_group(fusion.fuse(near, worded, rrf_k), ["query_id"], [F.col("rrf_score").desc(), F.col("chunk_id")], candidate_k)
+    by_vector, by_words = (asked.filter(F.col("mode") != other) if modes else asked for other in ("lexical", "vector"))
+    near = knn_stored(spark, path, by_vector, candidate_k, probes=probes, filters=filters, scope=scope)
+    worded = lexical_stored(spark, path, by_words, candidate_k, chunks=chunks, filters=filters, scope=scope, parts=parts)
+    return fusion.choose(near, worded, asked, candidate_k, rrf_k, modes=modes)

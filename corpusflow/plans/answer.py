@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusflow.functions import text as tx
-from corpusflow.operators import context, fusion, memory, profile
+from corpusflow.operators import context, fusion, index, memory, profile
 from corpusflow.operators.encode import Encoder, embed
 from corpusflow.operators.filters import with_owner
 from corpusflow.operators.fusion import PairScorer
+from corpusflow.operators.ordered import largest
 from corpusflow.session import fits_broadcast, settled
 from corpusflow.sources import appended
 
@@ -18,6 +21,24 @@ from corpusflow.sources import appended
 RESULT_BUCKETS = 16
 
 
+@dataclass(frozen=True)
+class Served:
+    """A stored index (``operators/index.py``) that answers the searches instead of a scan of the chunks."""
+
+    path: str
+    probes: int
+    parts: int = index.PARTS
+
+
+def chosen(questions: DataFrame) -> DataFrame:
+    """Questions with what they may choose themselves: ``mode`` (anything unknown is hybrid) and ``rerank`` (null is yes)."""
+    mode = F.lower(F.col("mode")) if "mode" in questions.columns else F.lit("hybrid")
+    rerank = F.col("rerank") if "rerank" in questions.columns else F.lit(True)
+    return questions.withColumns(
+        {"mode": F.when(mode.isin("vector", "lexical"), mode).otherwise("hybrid"), "rerank": F.coalesce(rerank, F.lit(True))}
+    )
+
+
 def retrieve(
     questions: DataFrame,
     chunks: DataFrame,
@@ -28,21 +49,35 @@ def retrieve(
     scorer: PairScorer | None = None,
     filters: bool = False,
     stats: DataFrame | None = None,
+    choices: bool = False,
+    served: Served | None = None,
+    failures: Observation | None = None,
 ) -> DataFrame:
-    """Rewrite, hybrid search within scope, rerank, shape: source rows per question.
+    """Rewrite, search within scope, rerank, shape: source rows per question.
 
-    ``chunks`` carry ``tokens`` and ``embedding``; ``questions``: query_id, text,
-    user_id, top_k, candidate_k (null for the defaults).
+    ``chunks`` carry ``tokens`` and ``embedding``; ``questions``: query_id, text, user_id, top_k, candidate_k (null for
+    the defaults). With ``choices`` each question's own ``mode`` and ``rerank`` count, otherwise all are hybrid and
+    reranked. ``served`` names a stored index to search, whose cells must hold ``owner`` and ``session_id``.
+    ``failures`` observes the scorer's failed batches and pairs.
     """
-    rewritten = context.rewrite_rooms(fusion.search_params(questions)).withColumn("text", F.col("rewritten"))
+    spark = questions.sparkSession
+    switched = chosen(questions if choices else questions.drop("mode", "rerank"))
+    rewritten = context.rewrite_rooms(fusion.search_params(switched)).withColumn("text", F.col("rewritten"))
     asked = embed(rewritten, "text", dim=dim, side="query", encoder=encoder)
     scoped = with_owner(chunks, sessions)
-    hits = fusion.hybrid_search(
-        asked, scoped, "candidate_k", filters=filters, scope=True, stats=stats,
-        columns=["doc_id", "url", "chunk_index", "content", "metadata"],
-    )
-    texts = rewritten.select("query_id", "text", "top_k")
-    return fusion.shape_sources(fusion.rerank(hits.join(texts, "query_id"), "top_k", scorer))
+    columns = ["doc_id", "url", "chunk_index", "content", "metadata"]
+    if served is not None:
+        best = index.hybrid_stored(
+            spark, served.path, settled(asked), "candidate_k", probes=served.probes, chunks=scoped, filters=filters, scope=True,
+            parts=served.parts, modes=choices,
+        )
+        hits = fusion.attach_chunks(best, chunks, columns, fits=fits_broadcast(asked, rows_each=largest(asked, "candidate_k")))
+    else:
+        find = fusion.search if choices else fusion.hybrid_search
+        hits = find(asked, scoped, "candidate_k", filters=filters, scope=True, stats=stats, columns=columns)
+    texts = rewritten.select("query_id", "text", "top_k", "rerank")
+    ordered = fusion.rerank(hits.join(texts, "query_id"), "top_k", scorer, wanted="rerank" if choices else None, failures=failures)
+    return fusion.shape_sources(ordered)
 
 
 def _result_bucket(key: Column) -> Column:
@@ -137,6 +172,9 @@ def ask(
     encoder: Encoder | None = None,
     scorer: PairScorer | None = None,
     results: str | None = None,
+    choices: bool = False,
+    served: Served | None = None,
+    failures: Observation | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """A whole table of questions to model inputs.
 
@@ -144,12 +182,12 @@ def ask(
     questions without any. A question about a document as a whole reads a slice
     of it; every other question is searched. ``questions``: query_id, text,
     user_id, session_id, top_k, candidate_k. ``results`` names a store of earlier results
-    to reuse and add to.
+    to reuse and add to; ``choices``, ``served`` and ``failures`` are those of ``retrieve``.
     """
     # Written once: each of these feeds several outputs.
     of_documents = settled(whole_document_sources(questions, chunks, sessions))
     searched = questions.join(of_documents.select("query_id").distinct(), "query_id", "left_anti")
-    options = {"dim": dim, "encoder": encoder, "scorer": scorer}
+    options = {"dim": dim, "encoder": encoder, "scorer": scorer, "choices": choices, "served": served, "failures": failures}
     hits = (
         retrieve(searched, chunks, sessions, **options) if results is None
         else retrieve_kept(searched, chunks, sessions, results, as_of, **options)

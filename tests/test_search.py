@@ -1,9 +1,11 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from corpusflow.operators import context, filters, fusion
+from corpusflow.plans import answer
 
 
 def ranked(spark, rows):
@@ -159,3 +161,41 @@ def test_blank_questions_find_nothing(spark):
 def test_plain_numbers(spark, value, text):
     df = spark.createDataFrame([(value,)], "v double")
     assert df.select(context.plain_number(F.col("v")).alias("t")).first()["t"] == text
+
+
+def test_only_questions_that_want_it_reach_the_scorer(spark):
+    def longest(asked, texts):
+        if "off" in asked or "single" in asked:
+            raise RuntimeError("was not to be scored")
+        return [len(t) for t in texts]
+
+    rows = spark.createDataFrame(
+        [(1, 10, 1, "on", "b", True), (1, 11, 2, "on", "bbb", True), (2, 20, 1, "off", "b", False), (2, 21, 2, "off", "bbb", False),
+         (3, 30, 1, "unset", "b", None), (3, 31, 2, "unset", "bbb", None), (4, 40, 1, "single", "b", True)],
+        "query_id bigint, chunk_id bigint, rank int, text string, content string, again boolean",
+    )
+    seen = Observation()
+    got = {(r.query_id, r.position): (r.chunk_id, r.rerank_score) for r in fusion.rerank(rows, 1, longest, wanted="again", failures=seen).collect()}
+    assert got == {(1, 1): (11, 3.0), (2, 1): (20, None), (3, 1): (31, 3.0), (4, 1): (40, None)}
+    assert seen.get == {"failed_batches": 0, "failed_pairs": 0}
+
+
+def test_failed_batches_are_observed_and_spare_the_others(spark):
+    def shaky(asked, texts):
+        if "bad" in asked:
+            raise RuntimeError("no service")
+        return [len(t) for t in texts]
+
+    rows = candidates(spark, [(q, 10 * q + c, c, "bad" if q == 2 else "good", "x" * c) for q in (1, 2) for c in (1, 2, 3)])
+    seen = Observation()
+    parted = rows.repartition(2, "query_id")
+    best = {r.query_id: (r.chunk_id, r.reranked) for r in fusion.rerank(parted, 1, shaky, failures=seen).collect()}
+    assert best[2] == (21, False) and seen.get["failed_batches"] >= 1 and seen.get["failed_pairs"] in (3, 6)
+    assert best[1] == ((13, True) if seen.get["failed_pairs"] == 3 else (11, False))
+
+
+def test_choices_of_questions(spark):
+    rows = spark.createDataFrame([(1, "VECTOR", False), (2, None, None), (3, "odd", True)], "query_id bigint, mode string, rerank boolean")
+    got = [(r.mode, r.rerank) for r in answer.chosen(rows).orderBy("query_id").collect()]
+    assert got == [("vector", False), ("hybrid", True), ("hybrid", True)]
+    assert [(r.mode, r.rerank) for r in answer.chosen(rows.select("query_id")).collect()] == [("hybrid", True)] * 3
