@@ -378,6 +378,57 @@ def chunk_pages(spark, d):
     return flat(corpus.chunk_pages(_pages_of(spark, d)).select("doc_id", "page", "chunk_index", "content"))
 
 
+def _long(col):
+    """Session ids in the form that uploads demand."""
+    return F.concat(F.lit("00000000-0000-0000-0000-"), F.lpad(col, 12, "0"))
+
+
+def _files(spark, d):
+    """Private documents as files of two parts, the second sent twice; every ninth lacks it, every tenth comes from a stranger."""
+    pages = derive.paragraph_chunks(spark, d).filter("session_id IS NOT NULL")
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "content"))), lambda p: p["content"])
+    files = pages.groupBy("doc_no", "session_id").agg(F.concat(F.lit("%PDF-\f"), F.array_join(ordered, "\f")).cast("binary").alias("body"))
+    digest, half = F.md5(F.col("doc_no").cast("string")), F.floor(F.octet_length("body") / 2).cast("int")
+    name = [F.substring(digest, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
+    part = F.explode(F.filter(F.array(F.lit(0), F.lit(1), F.lit(1)), lambda i: (i == 0) | (F.col("doc_no") % 9 != 0))).alias("part_index")
+    owned = files.join(derive.sessions(spark, d).select("session_id", "user_id"), "session_id")
+    sent = owned.select("doc_no", "session_id", "user_id", "body", half.alias("half"), F.concat_ws("-", *name).alias("upload_id"), part)
+    return sent.select(
+        "upload_id", _long("session_id").alias("session_id"), "part_index",
+        F.when(F.col("doc_no") % 10 == 0, "stranger").otherwise(F.col("user_id")).alias("user_id"),
+        F.lit(2).alias("total_parts"),
+        F.concat(F.lit("file "), F.col("doc_no").cast("string"), F.lit(".pdf")).alias("filename"),
+        F.when(F.col("part_index") == 0, F.substring("body", F.lit(1), F.col("half")))
+        .otherwise(F.substring("body", F.col("half") + 1, F.octet_length("body"))).alias("data"),
+        derive.as_of().alias("created_at"),
+    )
+
+
+@query(
+    "D5_P15_index_uploads",
+    ctes(
+        "WITH RECURSIVE page_bodies AS MATERIALIZED (SELECT chunk_id, "
+        + sqlkit.normalize("content")
+        + " AS body FROM chunks),"
+        + sql_chunks("page_bodies", "chunk_id").lstrip()[len("WITH RECURSIVE") :]
+        + """SELECT 'upload-' || substr(sha256('00000000-0000-0000-0000-' || lpad(c.session_id, 12, '0') || '::file ' || c.doc_no || '.pdf'), 1, 14) AS doc_id, c.chunk_index + 1 AS page,
+               row_number() OVER (PARTITION BY c.doc_id ORDER BY c.chunk_index, p.chunk_index) - 1 AS chunk_index, sha256(p.content) AS content_hash,
+               'file ' || c.doc_no || '.pdf' AS filename, s.user_id AS owner
+             FROM packed p JOIN chunks c USING (chunk_id) JOIN sessions s USING (session_id)
+             WHERE p.chunk_index < 20 AND c.doc_no % 9 <> 0 AND c.doc_no % 10 <> 0
+               AND c.doc_id IN (SELECT doc_id FROM chunks GROUP BY doc_id HAVING count(*) <= 400 AND sum(length(content)) <= 500000)"""
+    ),
+)
+def index_uploads(spark, d):
+    """From parts of files to searchable chunks with page, file name and owner."""
+    from corpusflow.operators.filters import with_owner
+    from corpusflow.plans import ingest
+
+    sessions = derive.sessions(spark, d).withColumn("session_id", _long("session_id"))
+    found = with_owner(ingest.index_uploads(_files(spark, d), sessions).chunks, sessions)
+    return flat(found.select("doc_id", "page", "chunk_index", "content_hash", "metadata.filename", "owner"))
+
+
 @query(
     "P16_document_limits",
     ctes("""SELECT doc_id, count(*) AS total_pages, sum(length(content))::BIGINT AS total_chars,
