@@ -70,6 +70,13 @@ def test_upload_completes_once_from_parts_in_any_order(spark, tmp_path):
     assert [(r.status, r.total_bytes, bytes(r.data)) for r in out.collect()] == [("complete", 8, b"%PDF-ABC")]
 
 
+def test_the_earliest_of_a_repeated_part_counts_in_any_order(spark, tmp_path):
+    # A retry that arrives first, in the same batch and in an earlier one.
+    batches = [[part(1, b"retry", 9), part(0, b"%PDF-again", 8), part(0, b"%PDF-A", 1)], [part(1, b"B", 2)], [part(2, b"C", 3), part(1, b"late", 99)]]
+    out = run.run_to_table(uploads.complete_uploads_stream(stream(spark, str(tmp_path / "in"), batches, PART)), "up")
+    assert [bytes(r.data) for r in out.collect()] == [b"%PDF-ABC"]
+
+
 def test_abandoned_parts_expire(spark, tmp_path):
     other = ("1" + UUID[1:], 0, 2, "b.pdf", "u", None, b"%PDF-", NOW + timedelta(days=1))
     batches = [[part(0, b"%PDF-A"), part(1, b"B")], [other], [(*other[:1], 1, *other[2:])], [part(2, b"C", 60 * 30)]]
