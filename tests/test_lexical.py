@@ -97,3 +97,17 @@ def test_postings_hold_positions(spark):
     chunks = spark.createDataFrame([(1, "B a, b!")], "chunk_id bigint, content string")
     rows = {r.term: (r.positions, r.tf) for r in lexical.build_postings(chunks).collect()}
     assert rows == {"b": ([1, 3], 2), "a": ([2], 1)}
+
+
+def test_postings_are_built_without_a_shuffle(spark, tables):
+    plan = lexical.build_postings(tables[1])._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
+def test_changed_postings_are_gained_changed_and_lost(spark):
+    old = lexical.with_tokens(spark.createDataFrame([(1, "a b a"), (2, "x y"), (3, "same"), (4, "gone")], "chunk_id long, content string"))
+    new = lexical.with_tokens(spark.createDataFrame([(1, "a b c"), (2, "y y"), (3, "same"), (5, "")], "chunk_id long, content string"))
+    got = lexical.changed_postings(old, new, "lost").select("chunk_id", "term", "positions", "tf", "lost").collect()
+    assert sorted(map(tuple, got)) == [
+        (1, "a", [1], 1, False), (1, "c", [3], 1, False), (2, "x", [1], 1, True), (2, "y", [1, 2], 2, False), (4, "gone", [1], 1, True),
+    ]
