@@ -105,3 +105,25 @@ def test_blank_and_unknown_questions_find_no_word(spark, stored):
     path, _, _ = stored
     asked = spark.createDataFrame([(1, "  "), (2, "w1 neverseen"), (3, "neverseen")], "query_id long, text string")
     assert index.lexical_stored(spark, path, asked, 5, parts=8).count() == 0
+
+
+def test_what_is_asked_for_decides_what_is_merged(spark, stored, monkeypatch):
+    path, now, _ = stored
+    every = appended.read(spark, f"{path}/postings", index.POSTING_KEY).filter("term IN ('w1', 'w2')")
+    wanted = spark.createDataFrame([("w1",), ("w2",)], "term string")
+    monkeypatch.setattr(appended, "BROADCAST_ROWS", 0)
+    got = appended.read(spark, f"{path}/postings", index.POSTING_KEY, within=wanted, within_fits=True)
+    assert rows(got) == rows(every) and got.count() > 10
+    # Loads are merged by a shuffle here, after the rows of other terms have gone.
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("LeftOuter") < plan.index("LeftSemi")
+
+
+@pytest.mark.parametrize("limit", [0, 500_000])
+def test_stored_words_equal_the_scan_whether_pairs_fit_or_not(spark, stored, monkeypatch, limit):
+    path, now, _ = stored
+    monkeypatch.setattr(index, "fits_broadcast", lambda df, *_, **__: df.count() <= limit)
+    asked = questions_of(spark, now)
+    got = index.lexical_stored(spark, path, asked, 10, parts=8)
+    want = lexical.lexical_search(asked, now, 10)
+    assert rows(got) == rows(want) and got.count() > 100
