@@ -105,7 +105,8 @@ def purge_stale(parts: DataFrame, as_of: Column, hours: int = TTL_HOURS) -> Data
 def upload_status(parts: DataFrame) -> DataFrame:
     """Per upload: parts seen, bytes and status, without touching the bytes.
 
-    A part sent twice counts once. Head of the file comes from part 0 only.
+    A part sent twice counts once. The head of the file is put together from the
+    first bytes of its parts: a first part may be shorter than the head.
     """
     unique = parts.groupBy("upload_id", "user_id", "part_index").agg(
         F.min_by(
@@ -113,17 +114,19 @@ def upload_status(parts: DataFrame) -> DataFrame:
                 F.octet_length("data").cast("bigint").alias("size"),
                 F.col("total_parts"),
                 F.col("filename"),
-                F.when(F.col("part_index") == 0, F.substring("data", 1, len(PDF_HEAD))).alias("head"),
+                F.substring("data", 1, len(PDF_HEAD)).alias("head"),
             ),
             "created_at",
         ).alias("p")
     )
+    heads = F.array_sort(F.collect_list(F.struct("part_index", "p.head")))
+    start = F.aggregate(heads, F.lit(b"").cast("binary"), lambda done, p: F.concat(done, p["head"]))
     per = unique.groupBy("upload_id", "user_id").agg(
         F.count(F.lit(1)).alias("have"),
         F.max("p.total_parts").alias("total_parts"),
         F.min("p.filename").alias("filename"),
         F.sum("p.size").alias("total_bytes"),
-        F.max("p.head").alias("head"),
+        F.substring(start, 1, len(PDF_HEAD)).alias("head"),
     )
     return per.withColumn(
         "status",

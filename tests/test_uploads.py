@@ -77,3 +77,16 @@ def test_only_the_owner_finds_an_upload(spark):
     got = {(r.query_id, r.content) for r in hits.collect()}
     guide = "a public harbour guide"
     assert got == {(1, guide), (2, guide), (3, guide), (1, "the harbour crane costs a lot"), (2, "the harbour ferry is late")}
+
+
+def test_a_first_part_shorter_than_the_head(spark):
+    files = [
+        part(1, "ann", S1, 0, 3, "tiny.pdf", b"%PD"),
+        part(1, "ann", S1, 1, 3, "tiny.pdf", b"F"),
+        part(1, "ann", S1, 2, 3, "tiny.pdf", b"-\x0ctiny"),
+        part(2, "ann", S1, 0, 2, "text.pdf", b"%PD"),
+        part(2, "ann", S1, 1, 2, "text.pdf", b"%PDF-\x0cno head"),
+    ]
+    got = ingest.index_uploads(spark.createDataFrame(files, PARTS), sessions_of(spark))
+    assert [r.content for r in got.chunks.collect()] == ["tiny"]
+    assert [(r.upload_id, r.reason) for r in got.rejected.collect()] == [(name(2), "not_pdf")]
