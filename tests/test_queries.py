@@ -41,3 +41,10 @@ def test_entry_has_rows(spark):
 
 def test_every_sql_belongs_to_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_listings_of_one_file_are_read_by_all_cores(spark):
+    from checks import derive
+
+    rows = derive.listings(spark, "/root/testdata/sf0.001")
+    assert rows.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
