@@ -117,6 +117,19 @@ def test_recall_grows_with_probes(spark):
     assert rows[8] >= 0.9
 
 
+def test_recall_by_probes_is_that_of_the_approximate_search(spark, monkeypatch):
+    """Measured by one exact search, with the figures the approximate searches have."""
+    given = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    items = given.select(F.col("vec_id").alias("item_id"), "embedding")
+    queries = given.select(F.col("vec_id").alias("query_id"), "embedding")
+    cells = vector.train_cells(items, 10)
+    exact = vector.knn(queries, items, 10)
+    want = {n: tuple(vector.ann_recall(exact, vector.knn_approx(queries, items, 10, cells=cells, probes=n)).first()) for n in (1, 3, 10)}
+    monkeypatch.setattr(vector, "knn_approx", None)
+    got = vector.recall_by_probes(queries, items, 10, cells, [1, 3, 10]).collect()
+    assert {r.probes: (r.recall, r.pairs) for r in got} == want
+
+
 def test_empty_sides(spark, vectors):
     q, i = vectors
     none = table(spark, i, "item_id").filter("false")
