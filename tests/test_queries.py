@@ -48,3 +48,9 @@ def test_listings_of_one_file_are_read_by_all_cores(spark):
 
     rows = derive.listings(spark, "/root/testdata/sf0.001")
     assert rows.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_retrieve_encodes_rewritten_questions(spark, con):
+    """The rules that rewrite a question must not end up inside a filter above the encoder."""
+    problem, *_ = compare(spark, con, FOLDER, "R10_R14_retrieve", entry.queries()["R10_R14_retrieve"], entry.oracle_sql()["R10_R14_retrieve"])
+    assert not problem
