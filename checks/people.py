@@ -92,7 +92,7 @@ _WHOLE = """
 def ask_batch(spark, d):
     """One model input per question, whole-document questions from document slices."""
     from corpusflow.plans import answer
-    from corpusflow.session import settled
+    from corpusflow.session import settled, written
 
     q = F.col("query_id")
     questions = derive.questions(spark, d).withColumn(
@@ -100,7 +100,7 @@ def ask_batch(spark, d):
     )
     sources, inputs, _ = answer.ask(
         settled(questions),
-        settled(derive.search_chunks(spark, d)),
+        written(derive.search_chunks(spark, d)),
         derive.sessions(spark, d),
         settled(derive.memory(spark, d, derive.DIM)),
         _context(spark, d),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from corpusflow.operators import fusion, index, lexical, vector
 from corpusflow.operators.filters import filters_struct
+from corpusflow.session import written
 from corpusflow.sources import appended
 
 CHUNK = "chunk_id long, content string, embedding array<float>, metadata struct<doc_type:string,language:string,price:double,listing_type:string,property_type:string,bedrooms:int,area_sqm:double>, session_id string, owner string"
@@ -127,3 +128,16 @@ def test_stored_words_equal_the_scan_whether_pairs_fit_or_not(spark, stored, mon
     got = index.lexical_stored(spark, path, asked, 10, parts=8)
     want = lexical.lexical_search(asked, now, 10)
     assert rows(got) == rows(want) and got.count() > 100
+
+
+def test_mean_centres_are_plain_means_and_vectors_stay_whole(spark):
+    rows = [(1, "b", [1.0, 2.0]), (2, "a", [3.0, 5.0]), (3, "b", [2.0, 0.0]), (4, None, [9.0, 9.0]), (5, "a", None)]
+    items = spark.createDataFrame(rows, "chunk_id long, label string, embedding array<float>").repartition(3)
+    assert index.mean_centres(items, "label").centres.tolist() == [[9.0, 9.0], [3.0, 5.0], [1.5, 1.0]]
+
+
+def test_written_rows_are_read_by_column(spark):
+    df = written(spark.range(5).selectExpr("id", "concat('text ', id) AS content", "array(float(id)) AS embedding"))
+    assert sorted(r.id for r in df.select("id").collect()) == list(range(5))
+    plan = df.select("id")._jdf.queryExecution().executedPlan().toString()
+    assert "parquet" in plan.lower() and "content" not in plan.split("ReadSchema")[1]

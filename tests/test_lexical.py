@@ -111,3 +111,19 @@ def test_changed_postings_are_gained_changed_and_lost(spark):
     assert sorted(map(tuple, got)) == [
         (1, "a", [1], 1, False), (1, "c", [3], 1, False), (2, "x", [1], 1, True), (2, "y", [1, 2], 2, False), (4, "gone", [1], 1, True),
     ]
+
+
+def test_words_nobody_probes_never_become_rows(tables, monkeypatch):
+    """Only wanted terms leave a chunk's row; with more of them than are written out, the result is the same."""
+    queries, chunks, q, c = tables
+    worded = lexical.with_tokens(chunks)
+    plan = lexical.lexical_search(queries, worded, 7)._jdf.queryExecution().optimizedPlan().toString()
+    assert "INSET" in plan.upper() or " IN (" in plan.upper()
+    monkeypatch.setattr(lexical, "TERM_SET", 1)
+    assert as_lists(lexical.lexical_search(queries, worded, 7)) == expected(q, c, 7)
+
+
+def test_tokens_at_hand_are_not_cut_again(tables):
+    worded = lexical.with_tokens(tables[1]).localCheckpoint()
+    plan = lexical.build_postings(worded)._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" not in plan
