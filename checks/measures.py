@@ -9,7 +9,7 @@ from checks.registry import flat, query
 from checks.retrieval import _CELLS, _in_cells, _labelled, _vector_tables
 from checks.sqlkit import CTES, ctes, seconds, similarity
 from corpusflow.operators import encode, evaluation, fusion, lexical, memory, usage, vector
-from corpusflow.session import fits_broadcast
+from corpusflow.session import fits_broadcast, written
 from corpusflow.sources import tables
 from corpusflow.streaming.run import fresh_dir
 
@@ -139,9 +139,9 @@ CTES["answers"] = """
   FROM eval_questions q"""
 
 
-def _eval_hits(spark, d):
+def _eval_hits(spark, d, chunks=None):
     asked = encode.embed(derive.eval_questions(spark, d), "text", dim=derive.DIM, side="query")
-    chunks = derive.search_chunks(spark, d)
+    chunks = derive.search_chunks(spark, d) if chunks is None else chunks
     near = fusion.vector_hits(asked, chunks, 8).select(
         "query_id", F.col("item_id").alias("chunk_id"), F.col("rank").alias("position")
     )
@@ -267,13 +267,14 @@ CTES["keyword_hits"] = """
 def compare_modes(spark, d):
     questions = derive.eval_questions(spark, d)
     keyword = questions.select("query_id", F.get("must_match", F.lit(0)).alias("text")).filter("text IS NOT NULL")
-    chunks = lexical.with_tokens(derive.paragraph_chunks(spark, d))
+    # Words and vectors of all chunks once, for both searches; encoder and scan run one after the other.
+    chunks = written(derive.search_chunks(spark, d))
     worded = lexical.lexical_search(keyword, chunks, 8)
     fits = fits_broadcast(keyword, rows_each=8)
     hits = fusion.attach_chunks(worded, chunks, ["content"], fits=fits).withColumn("id", F.col("query_id").cast("string"))
     return evaluation.compare_modes(
         {
-            "vector": evaluation.retrieval_recall(questions, _eval_hits(spark, d)),
+            "vector": evaluation.retrieval_recall(questions, _eval_hits(spark, d, chunks)),
             "lexical": evaluation.retrieval_recall(questions, hits),
         }
     )

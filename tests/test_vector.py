@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -168,3 +169,36 @@ def test_dimension_check(spark, vectors):
     assert encode.check_dim(df, 16).count() == len(q) and encode.wrong_dimension(df, 16).count() == 0
     with pytest.raises(Exception, match="expected 8"):
         encode.check_dim(df, 8).collect()
+
+
+def test_running_floor_keeps_ties_and_masked_items_out():
+    """What lies below the kth best so far is skipped; equal similarities still fall to the smaller id, in any order of arrival."""
+    rng = np.random.default_rng(11)
+    items = rng.normal(size=(300, 8))
+    items[50:120] = items[3]
+    items[200:260] = -items[3]
+    queries = np.vstack([items[3], rng.normal(size=(4, 8))])
+    ids = rng.permutation(300)
+    block = vector.QueryBlock(np.arange(5), vector.unit_rows(pa.array(queries.tolist())), np.array([7, 1, 40, 300, 0]), [{}], np.zeros(5, dtype=np.int64))
+    best = vector._Best(block)
+    for start in range(0, 300, 37):
+        part = ids[start : start + 37]
+        best.add(pa.table({"item_id": part, "item_vector": pa.array(items[part].tolist())}), filters.PairRules())
+    want = brute(queries, items, 300)
+    for row, k in enumerate(block.k):
+        assert best.ids[best.rows == row].tolist() == want[row][:k]
+    full = block.k > 0
+    assert [best.floor[r] for r in np.flatnonzero(full)] == [best.sims[best.rows == r][-1] for r in np.flatnonzero(full)]
+
+
+def test_own_session_mask_compares_columns(monkeypatch):
+    """Thousands of sessions are one comparison: no scan of the items per rule."""
+    rules = [{"session_id": s} for s in ("a", "b", None, "unknown")]
+    items = pa.table({"session_id": pa.array(["a", None, "b", "a"])})
+    monkeypatch.setattr(filters.pc, "equal", lambda *_: pytest.fail("one scan per rule"))
+    got = filters.PairRules(other_session=True).masks(rules, items)
+    assert got.tolist() == [[False, True, True, False], [True, True, False, True], [True] * 4, [True] * 4]
+
+
+def test_product_of_a_task_stays_small():
+    assert vector.PRODUCT_CELLS * 8 <= 8 << 20
