@@ -33,8 +33,11 @@ UNUSUAL = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\
 LED = re.compile(r" ?[^ \n\t\r]+|[ \n\t\r]+(?![^ \n\t\r])|[ \n\t\r]+")
 
 
-# A plain word with what may follow it; the pre-tokenizers below always cut between the two.
-PLAIN = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+# A plain word, and what may follow it; the pre-tokenizers below always cut between letters and signs.
+LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Remembered runs of signs; others are encoded each time.
+TAILS = 4_096
 # How byte-level vocabularies spell bytes: printable ones as themselves, the others in order from 256 on.
 _PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 SPELT = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTED)}
@@ -128,25 +131,34 @@ class Encoder:
 
     def _learn(self, missing: set[str]) -> dict[str, bytes]:
         """Ids of pieces that the newer generation lacks: from the older one, or encoded."""
-        learnt = {p: self.old[p] for p in missing if p in self.old}
-        rest = []
-        for part in missing - learnt.keys():
-            plain = PLAIN.fullmatch(part) if self.model else None
-            if plain:
-                learnt[part] = self._word(plain[1]) + (self._tail(plain[2]) if plain[2] else b"")
-            else:
+        learnt, rest, old = {}, [], self.old.get
+        for part in missing:
+            ids = old(part)
+            if ids is None and self.model:
+                ids = self._plain(part)
+            if ids is None:
                 rest.append(part)
+            else:
+                learnt[part] = ids
         for part, ids in zip(rest, self.whole(rest), strict=True):
             learnt[part] = array("I", ids).tobytes()
         self._keep(learnt)
         return learnt
 
+    def _plain(self, part: str) -> bytes | None:
+        """Ids of a plain word and the signs behind it; None for any other piece."""
+        word = part.rstrip(SIGNS)
+        bare = word[1:] if word[:1] == " " else word
+        if not (bare.isalpha() and bare.isascii() or LATIN.fullmatch(bare)):
+            return None
+        return self._word(word) if len(word) == len(part) else self._word(word) + self._tail(part[len(word) :])
+
     def _word(self, word: str) -> bytes:
         """Ids of a plain word straight from the merges, spelt as the pre-tokenizer would hand it over."""
-        known = self.new.get(word) or self.old.get(word)
+        spelt = word.lower() if self.lower else word
+        known = self.new.get(word) or self.old.get(word) or self.new.get(spelt) or self.old.get(spelt)
         if known:
             return known
-        spelt = word.lower() if self.lower else word
         if not spelt.isascii():
             spelt = spelt.encode().decode("latin-1").translate(SPELT)
         elif spelt[0] == " ":
@@ -154,11 +166,12 @@ class Encoder:
         return array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes()
 
     def _tail(self, tail: str) -> bytes:
-        if len(tail) > 4:
-            return array("I", self.whole([tail])[0]).tobytes()
-        if tail not in self.tails:
-            self.tails[tail] = array("I", self.whole([tail])[0]).tobytes()
-        return self.tails[tail]
+        ids = self.tails.get(tail)
+        if ids is None:
+            ids = array("I", self.whole([tail])[0]).tobytes()
+            if len(tail) <= 4 and len(self.tails) < TAILS:
+                self.tails[tail] = ids
+        return ids
 
 
 def encoder(definition: str, digest: str, remembered: int | None = None) -> Encoder:

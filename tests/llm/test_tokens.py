@@ -37,6 +37,20 @@ def test_pieces_give_the_ids_of_whole_texts(path, monkeypatch):
     assert known.encode(texts) == want
 
 
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_signs_behind_words_are_cut_off_and_learnt_once(path, monkeypatch):
+    rng = random.Random(3)
+    signs = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+    words = ["".join(rng.choice("abcdeÉßñ") for _ in range(rng.randint(1, 9))) for _ in range(3000)]
+    text = " ".join(w + "".join(rng.choice(signs) for _ in range(rng.randint(0, 6))) for w in words)
+    known = Encoder(Path(path).read_text(), f"signs-{path}")
+    assert known.encode([text])[0] == array("I", known.whole([text])[0]).tobytes()
+    sent, whole = [], known.whole
+    monkeypatch.setattr(known, "whole", lambda texts: sent.extend(texts) or whole(texts))
+    known.encode([" ".join(f"{w}x***" for w in words)])
+    assert len([t for t in sent if any(c.isalpha() for c in t)]) <= 1  # a first word without its blank
+
+
 def test_elias_fano_gives_back_every_value():
     rng = np.random.default_rng(1)
     for n, gap in ((0, 1), (1, 1), (1, 10**9), (5000, 1), (5000, 2), (5000, 700), (3000, 10**6), (2000, 3)):
