@@ -12,6 +12,7 @@ from corpusflow.functions import keys
 from corpusflow.functions import text as tx
 from corpusflow.operators import corpus, load
 from corpusflow.plans import ingest
+from corpusflow.session import written
 from corpusflow.sources import tables
 from corpusflow.streaming.run import fresh_dir
 
@@ -152,7 +153,9 @@ def load_in_place(spark, d):
     columns = ["doc_id", "url", "title", "markdown", "doc_type", "language"]
     nothing = spark.createDataFrame([], "doc_id string, chunk_index int, content_hash string, source_hash string")
     now = derive.as_of()
-    first = ingest.plan_load(_old_corpus(spark, d).select(*columns), nothing, nothing, now)
+    # Written once: the first load reads its texts for the chunks and for the documents.
+    earlier = written(_old_corpus(spark, d).select(*columns))
+    first = ingest.plan_load(earlier, nothing, nothing, now)
     tables.write_chunks(first.changed_chunks, path, buckets=32)
     first.documents.select("doc_id", "source_hash").write.parquet(f"{path}-documents")
     second = ingest.plan_load(
@@ -162,7 +165,7 @@ def load_in_place(spark, d):
         now,
     )
     tables.merge_chunks(spark, path, second.changed_chunks, second.loaded, buckets=32)
-    return flat(tables.read_chunks(spark, path).select("doc_id", "chunk_index", "content_hash"))
+    return flat(tables.read_chunks(spark, path, columns=["doc_id", "chunk_index", "content_hash"]))
 
 
 @query(

@@ -237,3 +237,25 @@ def test_a_lookup_opens_the_partitions_of_the_asked_documents(spark, tmp_path):
     assert [(r.doc_id, r.chunk_index) for r in found.orderBy("chunk_index").collect()] == [("d3", 0), ("d3", 1)]
     plan = found._jdf.queryExecution().toString()
     assert "PartitionFilters" in plan and "bucket#" in plan.split("PartitionFilters")[1][:400]
+
+
+def test_a_load_where_all_documents_moved_shuffles_no_text(spark):
+    records = spark.createDataFrame(
+        [(f"d{i}", f"http://h/{i}", None, f"Text {i}", "article", "en") for i in range(6)],
+        "doc_id string, url string, title string, markdown string, doc_type string, language string",
+    )
+    nothing = spark.createDataFrame([], "doc_id string, chunk_index int, content_hash string, source_hash string")
+    first = ingest.plan_load(records, nothing, nothing, F.current_timestamp(), dim=2)
+    assert "Exchange" not in first.changed_chunks._jdf.queryExecution().executedPlan().toString()
+    assert first.changed_chunks.count() == 6
+
+
+def test_a_merge_replaces_rows_that_differ_in_a_moved_null_or_a_microsecond(spark, tmp_path):
+    path, kind = str(tmp_path / "store"), "doc_id string, chunk_index int, m struct<a: int, b: int>, updated_at timestamp"
+    a, b = datetime(2024, 1, 1, 0, 0, 0, 1), datetime(2024, 1, 1, 0, 0, 0, 2)
+    tables.write_chunks(spark.createDataFrame([("x", 0, (1, None), a), ("y", 0, (1, 2), a), ("z", 0, (1, 2), a)], kind), path, buckets=2)
+    new = spark.createDataFrame([("x", 0, (None, 1), a), ("y", 0, (1, 2), b), ("z", 0, (1, 2), a)], kind)
+    tables.merge_chunks(spark, path, new, new.select("doc_id", "chunk_index"), buckets=2)
+    assert sorted(map(tuple, tables.read_chunks(spark, path).collect())) == sorted(map(tuple, new.collect()))
+    assert spark.read.parquet(f"{path}/load=1").count() == 2
+    assert sorted(r.updated_at for r in tables.read_chunks(spark, path, columns=["updated_at"]).collect()) == [a, a, b]
