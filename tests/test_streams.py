@@ -169,3 +169,14 @@ def test_a_batch_body_sees_the_shuffle_partitions_of_the_session(spark, tmp_path
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert seen == ["64"]
+
+
+def test_texts_are_brought_together_only_where_a_batch_repeats_a_document(spark, tmp_path, monkeypatch):
+    kept, written = [], ingest.written
+    monkeypatch.setattr(ingest, "written", lambda df: kept.append(1) or written(df))
+    kind = "doc_id string, url string, title string, markdown string, doc_type string, language string"
+    rows = [(f"d{i}", "http://h/x", "t", f"Text {i}", "article", "en") for i in range(4)]
+    again = ("d1", "http://h/x", "t", "Text 9", "article", "en")
+    ingest.stream_ingest(stream(spark, str(tmp_path / "in"), [rows, [rows[1], again]], kind), str(tmp_path / "store"), buckets=2, dim=4)
+    texts = {r.doc_id: r.content for r in tables.read_chunks(spark, f"{tmp_path}/store/rag_chunks").collect()}
+    assert kept == [1] and texts == {"d0": "Text 0", "d1": "Text 9", "d2": "Text 2", "d3": "Text 3"}
