@@ -191,6 +191,39 @@ def test_running_floor_keeps_ties_and_masked_items_out():
     assert [best.floor[r] for r in np.flatnonzero(full)] == [best.sims[best.rows == r][-1] for r in np.flatnonzero(full)]
 
 
+def test_kept_rows_are_sorted_a_few_times_not_once_per_product(monkeypatch):
+    """Similarities closer than single precision tells apart keep their order, and what is kept is not sorted with each product."""
+    rng = np.random.default_rng(2)
+    queries, items = rng.normal(size=(2000, 24)), rng.normal(size=(12_000, 24))
+    items[5000:5040] = queries[3] + rng.normal(scale=1e-4, size=(40, 24))
+    items[7000:7600] = items[11]
+    block = vector.QueryBlock(np.arange(2000), vector.unit_rows(pa.array(queries.tolist())), np.full(2000, 10), [{}], np.zeros(2000, dtype=np.int64))
+    best, sort, rows = vector._Best(block), np.lexsort, []
+    monkeypatch.setattr(vector.np, "lexsort", lambda keys: rows.append(len(keys[0])) or sort(keys))
+    best.add(pa.table({"item_id": np.arange(12_000), "item_vector": pa.array(items.tolist())}), filters.PairRules())
+    assert sum(rows) < 2000 * 10 * 20
+    sims = np.round(block.unit @ vector.unit_rows(pa.array(items.tolist())).T, 6)
+    want = [sorted(np.argpartition(-s, 700)[:700], key=lambda c, s=s: (-s[c], c))[:10] for s in sims]
+    assert best.ids.reshape(2000, 10).tolist() == [[int(c) for c in w] for w in want]
+
+
+def test_blocks_are_as_square_as_they_can_be(spark, monkeypatch):
+    """A vector is copied once per block of the other side: neither side may meet very many."""
+    queries, items = (
+        spark.range(60_000).select(F.col("id").alias(f"{n}_id"), F.expr("array(1f, float(id))").alias(f"{n}_vector"), F.lit(0).alias("cell"))
+        for n in ("query", "item")
+    )
+    met = {}
+    kept = vector._square_blocks
+    monkeypatch.setattr(vector, "_square_blocks", lambda q, i: met.setdefault("blocks", kept(q, i)))
+    monkeypatch.setattr(vector, "GROUPS_PER_CORE", 1)
+    vector._grid(queries, items, 3, filters.PairRules(), few_cells=True)
+    row, groups = met["blocks"].first(), spark.sparkContext.defaultParallelism
+    assert max(row.item_parts, row.query_parts) <= groups**0.5 + 2
+    monkeypatch.setattr(vector, "GROUP_NUMBERS", 2 * 5000)
+    assert tuple(kept(queries, items).first()) == (0, 12, 12)
+
+
 def test_own_session_mask_compares_columns(monkeypatch):
     """Thousands of sessions are one comparison: no scan of the items per rule."""
     rules = [{"session_id": s} for s in ("a", "b", None, "unknown")]
