@@ -259,3 +259,27 @@ def test_a_merge_replaces_rows_that_differ_in_a_moved_null_or_a_microsecond(spar
     assert sorted(map(tuple, tables.read_chunks(spark, path).collect())) == sorted(map(tuple, new.collect()))
     assert spark.read.parquet(f"{path}/load=1").count() == 2
     assert sorted(r.updated_at for r in tables.read_chunks(spark, path, columns=["updated_at"]).collect()) == [a, a, b]
+
+
+def test_a_load_that_only_adds_keys_makes_no_new_base_due(spark, tmp_path, monkeypatch):
+    """Such a load is read with the base; what later changes, removes or adds its keys again still counts."""
+    path = str(tmp_path / "store")
+    monkeypatch.setattr(appended, "WORTH", 0)
+    tables.write_chunks(chunk_rows(spark, [(f"d{i}", k, "0") for i in range(40) for k in range(2)]), path, buckets=4)
+    more = chunk_rows(spark, [(f"e{i}", k, "0") for i in range(40) for k in range(2)])
+    tables.merge_chunks(spark, path, more, more.select("doc_id", "chunk_index"), buckets=4)
+    assert appended.live(spark, path) == ([0, 1], 0)
+    plan = tables.read_chunks(spark, path)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
+    # One changed, one pruned to nothing, then added again by a load that finds none of its keys.
+    monkeypatch.setattr(appended, "WORTH", 1 << 30)
+    new = chunk_rows(spark, [("d1", 0, "1"), ("e1", 0, "1"), ("e1", 1, "0")])
+    gone = spark.createDataFrame([("d1", 0), ("e1", 0), ("e1", 1), ("e2", None)], "doc_id string, chunk_index int")
+    tables.merge_chunks(spark, path, new, gone, buckets=4)
+    again = chunk_rows(spark, [("e2", 0, "2")])
+    tables.merge_chunks(spark, path, again, again.select("doc_id", "chunk_index"), buckets=4)
+    want = {(f"{n}{i}", k): "0" for n in "de" for i in range(40) for k in range(2)}
+    want |= {("d1", 0): "1", ("e1", 0): "1", ("e2", 0): "2"}
+    del want["d1", 1], want["e2", 1]
+    got = tables.read_chunks(spark, path).collect()
+    assert {(r.doc_id, r.chunk_index): r.content_hash for r in got} == want and len(got) == len(want)

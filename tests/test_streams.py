@@ -2,6 +2,7 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from corpusflow.sources import tables
@@ -180,3 +181,34 @@ def test_texts_are_brought_together_only_where_a_batch_repeats_a_document(spark,
     ingest.stream_ingest(stream(spark, str(tmp_path / "in"), [rows, [rows[1], again]], kind), str(tmp_path / "store"), buckets=2, dim=4)
     texts = {r.doc_id: r.content for r in tables.read_chunks(spark, f"{tmp_path}/store/rag_chunks").collect()}
     assert kept == [1] and texts == {"d0": "Text 0", "d1": "Text 9", "d2": "Text 2", "d3": "Text 3"}
+
+
+def test_a_batch_takes_what_it_wrote_besides_the_store_with_it(spark, tmp_path):
+    """Disk beyond the store is that of one batch, also where a batch fails."""
+    from pathlib import Path
+
+    from corpusflow.session import work_dir
+
+    def left():
+        return {p.name for p in Path(work_dir(spark).removeprefix("file:")).glob("rows-*")}
+
+    rows = [(f"d{i}", "http://h/x", "t", f"Text {i}", "article", "en") for i in range(6)]
+    before, store = left(), str(tmp_path / "store")
+    ingest.stream_ingest(stream(spark, str(tmp_path / "in"), [rows[:3], [*rows[2:], rows[4]]], RECORD), store, buckets=2, dim=4)
+    assert left() == before and tables.read_chunks(spark, f"{store}/rag_chunks").count() == 6
+    with pytest.raises(Exception, match="expected"):
+        wrong = lambda texts, side: [[0.0]] * len(texts)
+        ingest.stream_ingest(stream(spark, str(tmp_path / "bad"), [rows], RECORD), str(tmp_path / "other"), buckets=2, dim=4, encoder=wrong)
+    assert left() == before
+    hashes = {r.doc_id: r.source_hash for r in tables.read_chunks(spark, f"{store}/documents").collect()}
+    assert len(hashes) == 6 and None not in hashes.values()
+
+
+def test_a_batch_of_records_is_bounded(spark, tmp_path, monkeypatch):
+    from checks import streams
+
+    spark.range(4000).repartition(8).write.parquet(str(tmp_path / "in"))
+    assert streams.files_per_batch(spark, str(tmp_path / "in"), 8) == 4
+    held = sum(p.stat().st_size for p in (tmp_path / "in").glob("*.parquet"))
+    monkeypatch.setattr(streams, "BATCH_BYTES", held // 3)
+    assert streams.files_per_batch(spark, str(tmp_path / "in"), 8) == 2
